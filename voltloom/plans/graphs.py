@@ -22,9 +22,9 @@ def c1(spark, d):
     return G.match(T(spark, d), p="rdf:type", o="cim:SvSwitch").select("graph", "s")
 
 
-@query("c2_exists", "SELECT graph, s, p, o FROM triples WHERE s IN (SELECT s FROM triples WHERE p = 'cims:stereotype' AND o = 'Primitive')")
+@query("c2_exists", "SELECT graph, s, p, o FROM triples WHERE s IN (SELECT s FROM triples WHERE p = 'cims:stereotype' AND o = 'Description')")
 def c2(spark, d):
-    return G.having(T(spark, d), "cims:stereotype", "Primitive").select("graph", "s", "p", "o")
+    return G.having(T(spark, d), "cims:stereotype", "Description").select("graph", "s", "p", "o")
 
 
 @query("c3_inheritance_filter", "SELECT s, p, o FROM triples WHERE p IN ('rdf:type', 'rdfs:subClassOf', 'rdfs:subPropertyOf', 'rdfs:domain', 'rdfs:range')")
