@@ -39,8 +39,8 @@ def one_spaced(c: Column) -> Column:
 def object_id(c: Column) -> Column:
     """``urn:uuid:u`` with u in lower case for both spellings of a uuid object; else unchanged."""
     return (
-        F.when(c.startswith("#_") & c.rlike(f"^#_{_UUID}$"), F.concat(F.lit("urn:uuid:"), F.lower(F.substring(c, 3, 36))))
-        .when(c.rlike(f"^(?i:urn:uuid:){_UUID}$"), F.lower(c))
+        F.when(c.startswith("#_") & c.rlike(f"^#_{_UUID}\\z"), F.concat(F.lit("urn:uuid:"), F.lower(F.substring(c, 3, 36))))
+        .when(c.rlike(f"^(?i:urn:uuid:){_UUID}\\z"), F.lower(c))
         .otherwise(c)
     )
 
