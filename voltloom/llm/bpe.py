@@ -2,7 +2,7 @@
 
 A text is split into words by the pattern that belongs to the rank file. A word that is a token
 of its own is looked up directly, and so are common words of several tokens, from a bounded
-cache. The other distinct words of a slice of a text are encoded by a
+cache. The other distinct words of a text are encoded by a
 fold over their byte ids: each step finds the pair of neighbours of lowest rank in a literal rank
 table and joins it, until no pair is left. Nothing is shuffled.
 
@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of a text that are encoded together in one row.
-SEGMENT_WORDS = 1024
+#: Texts of more words than this take the same merges with a heap in an Arrow UDF, word by word: an
+#: unknown word is looked up among the text's unknown ones by going through them.
+FLAT_WORDS = 16_384
 #: A cache of common words is made of so many texts, and holds so many words at most. It changes
 #: no result: a word that it lacks is encoded where it occurs.
 CACHE_TEXTS, CACHE_WORDS = 5_000, 50_000
@@ -247,13 +248,38 @@ def _heap(path: str) -> tuple[list[int], dict[tuple[int, int], int]]:
     return [ranks[bytes([b])] for b in range(256)], merge_pairs(ranks)
 
 
-def _long_words(path: str):
+def _by_heap(path: str):
+    """Two Arrow UDFs: ids of each long word of a list; ids of a whole text of very many words."""
+
     # the annotations are set as types: as strings Spark can't read them
-    def encode(words):
-        return words.map(lambda ws: [heap_encode(w.encode(), *_heap(path)) for w in ws])
+    def words(lists):
+        return lists.map(lambda ws: [heap_encode(w.encode(), *_heap(path)) for w in ws])
+
+    def texts(some):
+        def ids(text: str | None) -> list[int] | None:
+            if text is None:
+                return None
+            known: dict[str, list[int]] = {}
+            out: list[int] = []
+            for w in _pattern().findall(text):
+                if w not in known:
+                    known[w] = heap_encode(w.encode(), *_heap(path))
+                out += known[w]
+            return out
+
+        return some.map(ids)
+
+    words.__annotations__ = {"lists": pd.Series, "return": pd.Series}
+    texts.__annotations__ = {"some": pd.Series, "return": pd.Series}
+    return F.pandas_udf(words, "array<array<int>>"), F.pandas_udf(texts, "array<int>")
+
+
+@lru_cache(maxsize=1)
+def _pattern():
+    import public_tokenizers
+    import regex
 
-    encode.__annotations__ = {"words": pd.Series, "return": pd.Series}
-    return F.pandas_udf(encode, "array<array<int>>")
+    return regex.compile(public_tokenizers.PATTERN)
 
 
 def _words(text: Column) -> Column:
@@ -272,41 +298,35 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """(id, ids array<int>): each text's ids without special tokens, one row for each row.
 
     Null and empty texts give an empty list. The strings of special tokens are ordinary text. Only
-    the two named columns are read, whatever others there are. Text of any length is one row; its
-    words are taken in slices of SEGMENT_WORDS, so that no step's time grows with the square of it."""
+    the two named columns are read, whatever others there are. Texts may be of any length."""
     own = documents.columns
     texts = documents.toDF(*[f"c{i}" for i in range(len(own))]).select(F.col(f"c{own.index(id_col)}").alias("id"), F.col(f"c{own.index(text_col)}").alias("text"))
     bpe = tables(path)
     common = _common(texts, bpe) if cache else []
     known = WordTable([*((w, bpe.size + i) for i, (w, _) in enumerate(common)), *bpe.token_words]) if common else bpe.tokens
     pieces = F.from_json(F.lit(str([ids for _, ids in common])), "array<array<int>>")
-    words = texts.select("id", _words(F.col("text")).alias("words"))
-    long = F.array_distinct(F.filter("words", lambda w: F.octet_length(w) > FOLD_BYTES))
-    words = words.withColumn("long", long).withColumn("long_ids", _long_words(path)(F.col("long")))
-    parts = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / SEGMENT_WORDS).cast("int"))),
-        lambda i: F.slice("words", i * SEGMENT_WORDS + 1, F.lit(SEGMENT_WORDS)),
-    )
-    coded = F.transform(parts, lambda w: F.struct(w.alias("w"), F.transform(w, known.code).alias("c")))
-    rest = F.transform(coded, lambda x: F.struct(
-        x["w"].alias("w"), x["c"].alias("c"), F.array_compact(F.array_distinct(F.zip_with(x["w"], x["c"], lambda w, c: F.when(c < 0, w)))).alias("r")
-    ))
+    long_words, long_texts = _by_heap(path)
+    split = texts.select("id", "text", _words(F.col("text")).alias("all"))
+    many = F.size("all") > FLAT_WORDS
+    split = split.select("id", F.when(many, F.col("text")).alias("many"), F.when(many, F.array().cast("array<string>")).otherwise(F.col("all")).alias("w"))
+    split = split.withColumn("long", F.array_distinct(F.filter("w", lambda w: F.octet_length(w) > FOLD_BYTES)))
+    split = split.select("id", "w", "long", long_words(F.col("long")).alias("long_ids"), long_texts(F.col("many")).alias("many_ids"))
 
     def ids_of(w: Column) -> Column:
         return F.when(F.octet_length(w) <= FOLD_BYTES, bpe.fold(w)).otherwise(F.get("long_ids", (F.array_position("long", w) - 1).cast("int")))
 
-    folded = F.transform(rest, lambda x: F.struct(x["w"].alias("w"), x["c"].alias("c"), x["r"].alias("r"), F.transform(x["r"], ids_of).alias("i")))
-
-    def chosen(x: Column) -> Column:
-        def one(w: Column, c: Column) -> Column:
-            found = F.when(c < F.lit(0), F.get(x["i"], (F.array_position(x["r"], w) - 1).cast("int")))
-            if common:
-                found = found.when(c >= F.lit(bpe.size), F.get(pieces, c - F.lit(bpe.size)))
-            return found.otherwise(F.array(c))
-
-        return F.flatten(F.zip_with(x["w"], x["c"], one))
-
-    return words.select(F.col("id").alias(id_col), F.flatten(F.transform(folded, chosen)).alias("ids"))
+    def one(w: Column, c: Column) -> Column:
+        found = F.when(c < F.lit(0), F.get("i", (F.array_position("r", w) - 1).cast("int")))
+        if common:
+            found = found.when(c >= F.lit(bpe.size), F.get(pieces, c - F.lit(bpe.size)))
+        return found.otherwise(F.array(c))
+
+    coded = split.withColumn("c", F.transform("w", known.code))
+    rest = coded.withColumn("r", F.array_compact(F.array_distinct(F.zip_with("w", "c", lambda w, c: F.when(c < F.lit(0), w)))))
+    folded = rest.withColumn("i", F.transform("r", ids_of))
+    # i is named twice, for else the optimizer would move its making into the lambda, once a word
+    ids = F.when(F.size("i") >= 0, F.flatten(F.zip_with("w", "c", one)))
+    return folded.select(F.col("id").alias(id_col), F.coalesce("many_ids", ids).alias("ids"))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
