@@ -13,6 +13,8 @@ texts have no pieces.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,10 +24,15 @@ from .sizes import encoding, texts_of
 #: Share of a piece's length within which a target may move.
 NEAR = 0.25
 #: Marks that end a sentence, and white space, as UTF-8.
-ENDS = [m.encode() for m in (".", "!", "?", "。", "！", "？", "…", ";", "；")]
+ENDS, WIDE = ".!?;", "。！？…；"
+WIDE_ENDS = np.array([int.from_bytes(m.encode()) for m in WIDE], np.int32)
+END = np.zeros(256, bool)
+END[[ord(m) for m in ENDS]] = True
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
+OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
 SCHEMA = "limit_id int, id {id}, piece int, start_token bigint, n_tokens int, overlap_tokens int, start_char bigint, n_chars bigint, text string"
 
 
@@ -39,13 +46,10 @@ def strengths(data: bytes, at: np.ndarray) -> np.ndarray:
     prev, following = b[i - 1], b[i]
     prev2, prev3 = b[np.maximum(i - 2, 0)], b[np.maximum(i - 3, 0)]
     s = (SPACE[prev] | SPACE[following]).astype(np.int8)
-    end = np.zeros(len(i), bool)
-    for m in ENDS:
-        if len(m) == 1:
-            end |= (prev == m[0]) & SPACE[following]
-            end |= (prev2 == m[0]) & SPACE[prev] & (i > 1)
-        elif len(m) == 3:
-            end |= (prev3 == m[0]) & (prev2 == m[1]) & (prev == m[2]) & (i > 2)
+    end = (END[prev] & SPACE[following]) | (END[prev2] & SPACE[prev] & (i > 1))
+    if not data.isascii():
+        mark = (prev3.astype(np.int32) << 16) | (prev2.astype(np.int32) << 8) | prev
+        end |= np.isin(mark, WIDE_ENDS) & (i > 2)
     s[end] = 2
     line = (prev == 10) | (prev == 13)
     s[line] = 3
@@ -96,20 +100,34 @@ def cuts(n: int, capacity: int, overlap: int, strong: np.ndarray, fits) -> list[
     return None
 
 
-def pieces_of(text: str, ids: np.ndarray, ends: np.ndarray, data: bytes, capacity: int, overlap: int, strong: np.ndarray, count) -> list[tuple[int, int]]:
-    """Pieces of one text. ends: byte offset before each token and at the end."""
-    n = len(ids)
+def clean_cuts(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """Whether the text before and after a cut between tokens, encoded alone, gives the same tokens:
+    the cut is before a run of white space, or after a run of one that isn't a space."""
+    out = np.zeros(len(ends), bool)
+    out[[0, -1]] = True
+    at = ends[1:-1]
+    b = np.frombuffer(data, np.uint8)
+    prev, following, prev2 = b[at - 1], b[at], b[np.maximum(at - 2, 0)]
+    out[1:-1] = (~SPACE[prev] & SPACE[following]) | (SPACE[prev] & (prev != 32) & ~SPACE[prev2] & ~SPACE[following])
+    return out
+
 
-    def loose(at: int) -> bool:
-        """Whether encoding from or up to this cut may join other tokens than the whole text's."""
-        return 0 < at < n and (strong[at] < 1 or (SPACE[data[ends[at] - 1]] and SPACE[data[ends[at]]]))
+def pieces_of(ends: np.ndarray, data: bytes, clean: np.ndarray, capacity: int, overlap: int, strong: np.ndarray, count) -> list[tuple[int, int]]:
+    """Pieces of one text. ends: byte offset before each token and at the end; clean: the places of
+    the clean cuts."""
 
     def fits(start: int, end: int) -> bool:
-        if not loose(start) and not loose(end):
-            return end - start <= capacity
+        # between clean cuts the tokens are the text's own; outside of them, at most one for each byte
+        i, j = np.searchsorted(clean, start), np.searchsorted(clean, end, "right") - 1
+        if i <= j:
+            first, last = clean[i], clean[j]
+            if ends[first] - ends[start] + last - first + ends[end] - ends[last] <= capacity:
+                return True
+            outer = [data[ends[u] : ends[v]].decode() for u, v in ((start, first), (last, end)) if u < v]
+            return last - first + sum(map(count, outer)) <= capacity
         return count(data[ends[start] : ends[end]].decode()) <= capacity
 
-    found = cuts(n, capacity, overlap, strong, fits)
+    found = cuts(len(ends) - 1, capacity, overlap, strong, fits)
     if found is None:
         raise ValueError("no characters fit the capacity")
     return found
@@ -138,11 +156,12 @@ def split(documents: DataFrame, path: str, limits: list[tuple[int, int, int]], i
                 data = text.encode()
                 ends = np.concatenate([[0], np.cumsum(lengths[ids])])
                 strong = strengths(data, ends)
+                clean = np.array([0, len(ids)]) if OTHER_SPACE.search(text) else np.flatnonzero(clean_cuts(data, ends))
                 starts_char = np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
                 chars = np.concatenate([[0], starts_char])[ends]
                 for limit, capacity, overlap in over:
                     before = 0
-                    for k, (s, e) in enumerate(pieces_of(text, ids, ends, data, capacity, overlap, strong, lambda t: len(encoder.encode_ordinary(t)))):
+                    for k, (s, e) in enumerate(pieces_of(ends, data, clean, capacity, overlap, strong, lambda t: len(encoder.encode_ordinary(t)))):
                         id_at.append(row)
                         piece = data[ends[s] : ends[e]].decode()
                         held += len(piece)
