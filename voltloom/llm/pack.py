@@ -82,7 +82,8 @@ def pack(items: DataFrame, capacities: dict[int, int], cut, per_group: int = PER
     the lower bound of the containers of the row's group, ``containers`` what it took."""
     capacity_of = {int(k): int(v) for k, v in capacities.items()}
     pairs = F.array(*[F.struct(F.lit(k).alias("limit_id"), F.lit(c).alias("capacity")) for k, c in capacity_of.items()])
-    each = items.where("n > 0").select("id", F.col("n").cast("bigint").alias("size"), F.explode(pairs).alias("l")).select("id", "size", "l.*")
+    items = cut(items.where("n > 0"))  # sizes are dear and read twice
+    each = items.select("id", F.col("n").cast("bigint").alias("size"), F.explode(pairs).alias("l")).select("id", "size", "l.*")
     each = each.withColumn("full", F.floor(F.col("size") / F.col("capacity")).cast("int"))
     full = each.where("full > 0").select("limit_id", "capacity", "id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part")).select(
         "limit_id", "capacity", F.concat_ws("-", F.lit("f"), "limit_id", "id", "part", F.monotonically_increasing_id()).alias("container"), "id", "part",
