@@ -95,7 +95,7 @@ def test_containers(spark, per_group):
 
 
 def test_pieces(spark, documents):
-    limits = [(1, 20, 5), (2, 64, 0), (3, 7, 6)]
+    limits = [(1, 20, 5), (2, 64, 0), (3, 12, 4)]
     rows = split.split(documents.where("doc_id < 100"), PATH, limits).collect()
     by = {}
     for r in rows:
@@ -120,6 +120,19 @@ def test_pieces(spark, documents):
         split.split(documents, PATH, [(1, 5, 5)])
 
 
+def test_impossible_limits(spark):
+    df = spark.createDataFrame([(1, "日本語🤖🤖" * 3), (2, "abc def ghi " * 4)], "doc_id bigint, text string")
+    for capacity, overlap in ((7, 6), (1, 0)):
+        rows = split.split(df, PATH, [(1, capacity, overlap)]).orderBy("id", "piece").collect()
+        for i in (1, 2):
+            own, end, text = [r for r in rows if r.id == i], 0, df.where(f"doc_id = {i}").first().text
+            for r in own:
+                assert r.start_char <= end and text[r.start_char : r.start_char + r.n_chars] == r.text
+                assert len(expected(r.text)) <= capacity or r.n_chars == 1
+                end = r.start_char + r.n_chars
+            assert end == len(text)
+
+
 def test_cuts_prefer_natural_boundaries():
     text = ("word " * 30 + "\n\n") * 3
     enc = sizes.encoding(PATH)

@@ -7,7 +7,9 @@ tokens of the piece before it. If a piece would be too long, counted in the text
 encoding the piece alone, one more piece is tried.
 
 Cuts lie between tokens and never within a character: where an overlap would begin within one, it
-begins at the last token before it that doesn't. Texts no longer than the capacity, null and empty
+begins at the last token before it that doesn't. Where a text can't be cut with the stated overlap
+(characters of several tokens, an overlap close to the capacity) the overlap is halved until it can;
+a character that exceeds the capacity alone is a piece of its own. Texts no longer than the capacity, null and empty
 texts have no pieces.
 """
 
@@ -127,9 +129,18 @@ def pieces_of(ends: np.ndarray, data: bytes, clean: np.ndarray, capacity: int, o
             return last - first + sum(map(count, outer)) <= capacity
         return count(data[ends[start] : ends[end]].decode()) <= capacity
 
-    found = cuts(len(ends) - 1, capacity, overlap, strong, fits)
+    n, some = len(ends) - 1, overlap
+    while (found := cuts(n, capacity, some, strong, fits)) is None and some:
+        some //= 2
     if found is None:
-        raise ValueError("no characters fit the capacity")
+        valid = np.flatnonzero(strong >= 0)
+        found, start = [], 0
+        while start < n:
+            after = valid[(valid > start) & (valid <= start + capacity)]
+            fitting = [int(e) for e in after[::-1] if fits(start, int(e))][:1]
+            end = fitting[0] if fitting else int(valid[valid > start][0])
+            found.append((start, end))
+            start = end
     return found
 
 
