@@ -21,7 +21,7 @@ def items(n, /, **fields):
 def test_changes(spark):
     a = items(10, ns=lambda k: f"n{k}", flag=True, old=1, mixed="t", sparse=None)
     b = items(10, namespace=lambda k: f"n{k}" if k else "other", flag="Yes", mixed="t", sparse=2, new={"b": 1, "a": 2})
-    b += [b[0], None, "", "{", '{"item": "i1", "flag": ', '[1]', '{"item":"i1","ghost":1} x', "3"]
+    b += [b[0], None, "", "{", '{"item": "i1", "flag": ', '[1]', '{"item":"i1","ghost":1} x', '{"item":"i1","ghost":1} }', '{"item":"i1","ghost":1}{"item":"i2"}', '{"item":"i1","ghost":1},{"item":"i2"}', "3"]
     b[2]["mixed"] = 5
     c = items(2, namespace=lambda k: f"n{k}", flag="Yes", mixed="t", sparse=2, new={"a": 2, "b": 1})
     c2 = items(2, ns2=lambda k: f"n{k}", flag="Yes", mixed="t", sparse=2, new={"a": 2, "b": 1})

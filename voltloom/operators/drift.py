@@ -7,7 +7,7 @@ boolean, array and object are each below string, so fields of mixed types become
 that were renamed go to one column. All files are cast to that schema, and the changes are logged in
 order of the files.
 
-Defined results: a line that is null or no complete JSON object is skipped; a repeated line counts
+Defined results: a line that is null or no complete JSON object, or that names a key twice, is skipped; a repeated line counts
 once; of several values of one item and field in a file the smallest by type and text counts; equal
 counts of two types are settled by the order of ``TYPES``; a file without complete records has no
 fields; a record without ``item`` is kept in the table but counts for no change; fields beyond
@@ -40,10 +40,10 @@ def json_type(kind: Column) -> Column:
 
 def complete(record: Column) -> Column:
     """The record as a variant if it is one complete JSON object, else null."""
-    # the parser stops after the first value: what follows it would go unseen without the last test
-    text = F.btrim(record, F.lit(" \t\r\n"))
-    v = F.try_parse_json(F.when(text.startswith("{") & text.endswith("}"), text))
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    # the parser stops after a text's first value and doesn't see what follows; in brackets it does
+    several = F.try_parse_json(F.when(F.ltrim(record, F.lit(" \t\r\n")).startswith("{"), F.concat(F.lit("["), record, F.lit("]"))))
+    return F.when(F.try_variant_get(several, "$[1]", "variant").isNull(), F.try_variant_get(several, "$[0]", "variant"))
+
 
 
 def facts(records: DataFrame) -> DataFrame:
