@@ -294,13 +294,22 @@ def _common(texts: DataFrame, bpe: Bpe) -> list[tuple[str, list[int]]]:
     return [(r.w, r.ids) for r in top.select("w", bpe.fold(F.col("w")).alias("ids")).collect()]
 
 
+def texts_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text) by exact column names, whatever other columns there are. Work on texts takes far more
+    time than moving them: where the input has fewer partitions than the cluster has cores (one
+    small file), the texts are spread; larger inputs are read where they lie."""
+    own = documents.columns
+    texts = documents.toDF(*[f"c{i}" for i in range(len(own))]).select(F.col(f"c{own.index(id_col)}").alias("id"), F.col(f"c{own.index(text_col)}").alias("text"))
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
 def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", cache: bool = True) -> DataFrame:
     """(id, ids array<int>): each text's ids without special tokens, one row for each row.
 
     Null and empty texts give an empty list. The strings of special tokens are ordinary text. Only
     the two named columns are read, whatever others there are. Texts may be of any length."""
-    own = documents.columns
-    texts = documents.toDF(*[f"c{i}" for i in range(len(own))]).select(F.col(f"c{own.index(id_col)}").alias("id"), F.col(f"c{own.index(text_col)}").alias("text"))
+    texts = texts_of(documents, id_col, text_col)
     bpe = tables(path)
     common = _common(texts, bpe) if cache else []
     known = WordTable([*((w, bpe.size + i) for i, (w, _) in enumerate(common)), *bpe.token_words]) if common else bpe.tokens

@@ -8,9 +8,8 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .bpe import read_ranks
+from .bpe import read_ranks, texts_of
 
 
 @lru_cache(maxsize=4)
@@ -21,12 +20,6 @@ def encoding(path: str):
     return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
-def texts_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) by exact column names, whatever other columns there are."""
-    own = documents.columns
-    return documents.toDF(*[f"c{i}" for i in range(len(own))]).select(F.col(f"c{own.index(id_col)}").alias("id"), F.col(f"c{own.index(text_col)}").alias("text"))
-
-
 def sizes(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n bigint): number of ids of each text; 0 for null and empty ones."""
     texts = texts_of(documents, id_col, text_col)

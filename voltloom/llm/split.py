@@ -21,7 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .sizes import encoding, texts_of
+from .bpe import texts_of
+from .sizes import encoding
 
 #: Share of a piece's length within which a target may move.
 NEAR = 0.25
