@@ -68,6 +68,17 @@ def multiply(t: DataFrame, n: int) -> DataFrame:
     return copies.select(mark("graph").alias("graph"), mark("s").alias("s"), "p", F.when((F.col("o_kind") == "iri") & (F.col("p") != "rdf:type"), mark("o")).otherwise(F.col("o")).alias("o"), "o_kind", "o_dt")
 
 
+def multiply_and_connect(t: DataFrame, n: int, terminal_class: str = "cim:Terminal") -> DataFrame:
+    """n copies, each joined to the next one by a line between their smallest terminals' nodes."""
+    copies = multiply(t, n)
+    ends = copies.where((F.col("p") == "rdf:type") & (F.col("o") == terminal_class)).groupBy("graph").agg(F.min("s").alias("end"))
+    number = F.regexp_extract("graph", "-([0-9]+)$", 1).cast("int")
+    a, b = ends.select(number.alias("k"), "graph", F.col("end").alias("from")), ends.select((number - 1).alias("k"), F.col("end").alias("to"))
+    line = a.join(b, "k").withColumn("s", F.concat(F.lit("line/"), F.col("k").cast("string")))
+    rows = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in (("rdf:type", F.lit("cim:ACLineSegment")), ("cim:ACLineSegment.from", F.col("from")), ("cim:ACLineSegment.to", F.col("to")))])
+    return copies.select("graph", "s", "p", "o").unionByName(line.select("graph", "s", F.inline(rows)))
+
+
 def multiply_over(t: DataFrame, config: list[tuple[str, str]]) -> DataFrame:
     """A copy for each (time, process): ids of its own, the header's scenario time and process set.
     config is a short list that a user writes."""

@@ -21,6 +21,12 @@ RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 XML = "http://www.w3.org/XML/1998/namespace"
 XSD = "http://www.w3.org/2001/XMLSchema#"
 SCHEMA = "graph string, s string, s_kind string, p string, o string, o_kind string, o_dt string, o_lang string"
+#: The prefixes of the standard namespaces; the model namespace is any of a version.
+NAMESPACES = {
+    RDF: "rdf", "http://www.w3.org/2000/01/rdf-schema#": "rdfs", "http://www.w3.org/2002/07/owl#": "owl", XSD: "xsd", "http://www.w3.org/ns/shacl#": "sh", "http://www.w3.org/ns/dcat#": "dcat",
+    "http://purl.org/dc/terms/": "dcterms", "http://www.w3.org/2004/02/skos/core#": "skos", "http://iec.ch/TC57/61970-552/ModelDescription/1#": "md", "http://iec.ch/TC57/61970-552/DifferenceModel/1#": "dm",
+    "http://iec.ch/TC57/1999/rdf-schema-extensions-19990926#": "cims",
+}
 #: Archives within archives are opened down to this depth.
 MOST_NESTED = 5
 Row = tuple
@@ -347,6 +353,19 @@ def read(spark: SparkSession, path: str, base: str = "http://iec.example/model",
     return files.load(path).select("path", "content").mapInArrow(parse, SCHEMA)
 
 
+def short_names(t: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
+    """Predicates, types and datatypes as prefix:name where their namespace is a known one."""
+    known = NAMESPACES | (more or {})
+    prefix = F.create_map(*[x for ns, p in known.items() for x in (F.lit(ns), F.lit(p))])
+
+    def short(c: str) -> Column:
+        ns = F.regexp_extract(c, r"^(.*[#/])", 1)
+        name = F.coalesce(F.element_at(prefix, ns), F.when(ns.rlike("^http://iec.ch/TC57/(20[0-9]{2}/CIM-schema-cim1[0-9]|CIM100|CIM100-.*)#$"), "cim"))
+        return F.coalesce(F.concat(name, F.lit(":"), F.expr(f"substring({c}, length(regexp_extract({c}, '^(.*[#/])', 1)) + 1)")), F.col(c))
+
+    return t.withColumns({"p": short("p"), "o": F.when(F.col("p") == RDF + "type", short("o")).otherwise(F.col("o")), "o_dt": short("o_dt")})
+
+
 def assign_datatypes(t: DataFrame, datatypes: DataFrame) -> DataFrame:
     """Literals without a language get their predicate's declared datatype, else xsd:string."""
     m = datatypes.groupBy(F.col("p").alias("__p")).agg(F.min("dt").alias("__dt"))
