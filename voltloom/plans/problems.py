@@ -67,7 +67,8 @@ def declared(spark: SparkSession, d: str) -> dict[str, str]:
 
 
 def _instances(spark: SparkSession, d: str) -> DataFrame:
-    return W.wide(table(spark, d, "triples").where(F.col("graph").rlike(PROFILES)), declared(spark, d), REQUIRED)
+    rows = pick(table(spark, d, "triples"), "graph", "s", "p", "o")
+    return W.wide(rows.where(F.col("graph").rlike(PROFILES)), declared(spark, d), REQUIRED)
 
 
 def p3_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +77,8 @@ def p3_wide(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     booleans = sorted({a for v in REQUIRED.values() for a in v})
-    found = W.wide(table(spark, d, "triples").where(F.col("p").isin("rdf:type", *booleans)), {a: "xsd:boolean" for a in booleans}, REQUIRED)
+    rows = pick(table(spark, d, "triples"), "graph", "s", "p", "o")
+    found = W.wide(rows.where(F.col("p").isin("rdf:type", *booleans)), {a: "xsd:boolean" for a in booleans}, REQUIRED)
     return W.problems(found)
 
 
