@@ -101,3 +101,34 @@ def manifest(t: DataFrame) -> DataFrame:
     best = v.groupBy("graph", "p").agg(F.min("i").alias("i"))
     named = heads.select("graph", F.col("s").alias("dataset"), F.lit("dcterms:title").alias("p"), F.col("graph").alias("o"))
     return v.join(best, ["graph", "p", "i"]).select("graph", F.col("s").alias("dataset"), "p", "o").unionByName(named)
+
+
+def value_constraints(rows: DataFrame, class_properties: DataFrame, concrete: DataFrame) -> DataFrame:
+    """(shape, target_class, path, component, parameter) of user rows (property, component, value): each
+    is attached to every concrete class that has the property, itself or by inheritance.
+    class_properties: (cls, property)."""
+    own = class_properties.join(concrete, "cls", "left_semi").select("cls", "property").distinct()
+    return own.join(rows.distinct(), "property").select(
+        F.concat("cls", F.lit("."), "property", F.lit("-"), "component").alias("shape"), F.col("cls").alias("target_class"), F.col("property").alias("path"), "component", F.col("value").cast("string").alias("parameter")
+    )
+
+
+def concrete_below(classes: DataFrame, tiers: list[tuple[DataFrame, DataFrame]], by_local_name: bool = False) -> DataFrame:
+    """(cls, concrete): for each class its concrete subclasses in any tier of base vocabularies, itself
+    too where it is concrete. tiers: (subclass closure (child, ancestor), concrete (cls)) each. With
+    ``by_local_name`` classes of other namespaces match by their names."""
+    key = (lambda c: F.regexp_extract(c, "[^#/]*$", 0)) if by_local_name else (lambda c: c)
+    out = None
+    for up, concrete in tiers:
+        pairs = up.select("child", "ancestor").unionByName(concrete.select(F.col("cls").alias("child"), F.col("cls").alias("ancestor")))
+        pairs = pairs.join(concrete.select(F.col("cls").alias("child")), "child", "left_semi").select(key(F.col("ancestor")).alias("k"), F.col("child").alias("concrete"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return classes.select("cls", key(F.col("cls")).alias("k")).join(out.distinct(), "k").select("cls", "concrete").distinct()
+
+
+def template(class_properties: DataFrame, properties: DataFrame, dts: DataFrame) -> DataFrame:
+    """(cls, property, kind, dt, multiplicity): what a sheet of each class has a column for."""
+    j = class_properties.select("cls", "property").distinct().join(properties, "property").join(dts, "property", "left")
+    kind = F.when(F.col("dt").isNotNull(), "Attribute").when(F.col("association_used") == "Yes", "Association").otherwise("Enumeration")
+    used = F.coalesce(F.col("association_used") != "No", F.lit(True))
+    return j.where(used).select("cls", "property", kind.alias("kind"), "dt", "multiplicity")

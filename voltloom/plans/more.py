@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import files as N
 from ..operators import convert as C
+from ..operators import rdfs as R
 from ..operators import tasks as K
+from ..operators.graph import closure
 from ..sources import mapping as M
 from ..sources.tables import table
 from .catalogue import query
@@ -94,3 +96,43 @@ def m9(spark, d):
 @query("m19_merge_counts", "SELECT user_id, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def m19(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").count().groupBy("user_id").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+
+
+_CP = "cp AS (SELECT DISTINCT p_brand AS cls, 'size' || p_size AS property FROM part), con AS (SELECT DISTINCT p_brand AS cls FROM part WHERE p_brand LIKE '%1')"
+
+
+def _class_properties(spark, d):
+    p = table(spark, d, "part")
+    cp = p.select(F.col("p_brand").alias("cls"), F.concat(F.lit("size"), "p_size").alias("property")).distinct()
+    return cp, p.where("p_brand like '%1'").select(F.col("p_brand").alias("cls")).distinct()
+
+
+_VALUES = [("size1", "minInclusive", "0"), ("size2", "maxLength", "5"), ("size2", "maxLength", "5"), ("none", "maxLength", "1")]
+
+
+@query("j9_value_constraints", f"WITH {_CP}, r(property, component, value) AS (SELECT DISTINCT * FROM (VALUES " + ", ".join(map(str, _VALUES)) + ")) SELECT cls || '.' || property || '-' || component AS shape, cls AS target_class, property AS path, component, value AS parameter FROM cp JOIN con USING (cls) JOIN r USING (property)")
+def j9(spark, d):
+    cp, concrete = _class_properties(spark, d)
+    return R.value_constraints(spark.createDataFrame(_VALUES, "property string, component string, value string"), cp, concrete)
+
+
+_UP = "WITH RECURSIVE e AS (SELECT DISTINCT s, o FROM triples WHERE p = 'rdfs:subClassOf' AND starts_with(o, 'http')), c(child, ancestor) AS (SELECT s, o FROM e UNION SELECT c.child, e.o FROM c JOIN e ON e.s = c.ancestor), k AS (SELECT DISTINCT s FROM triples WHERE p = 'cims:stereotype' AND ends_with(o, '#concrete')), pairs AS (SELECT child, ancestor FROM c UNION ALL SELECT s, s FROM k), cls AS (SELECT DISTINCT s FROM triples_b WHERE p = 'rdfs:label' AND starts_with(s, 'http'))"
+
+
+@query("j8_concrete_in_tiers", _UP + " SELECT DISTINCT cls.s AS cls, child AS concrete FROM cls JOIN pairs ON regexp_extract(ancestor, '[^#/]*$') = regexp_extract(cls.s, '[^#/]*$') WHERE child IN (SELECT s FROM k)")
+def j8(spark, d):
+    t = T(spark, d)
+    up = closure(t.where("p = 'rdfs:subClassOf' and o like 'http%'").select("s", "o"))
+    concrete = t.where("p = 'cims:stereotype' and o like '%#concrete'").select(F.col("s").alias("cls")).distinct()
+    classes = table(spark, d, "triples_b").where("p = 'rdfs:label' and s like 'http%'").select(F.col("s").alias("cls")).distinct()
+    return R.concrete_below(classes, [(up, concrete)], by_local_name=True)
+
+
+@query("j16_template", f"WITH {_CP} SELECT cls, property, CASE WHEN k % 3 = 0 THEN 'Attribute' WHEN k % 3 = 1 THEN 'Association' ELSE 'Enumeration' END AS kind, CASE WHEN k % 3 = 0 THEN 'xsd:float' END AS dt, '0..1' AS multiplicity FROM cp JOIN (SELECT DISTINCT 'size' || p_size AS property, p_size AS k FROM part) USING (property) WHERE k % 6 <> 5")
+def j16(spark, d):
+    cp, _ = _class_properties(spark, d)
+    k = F.col("k")
+    pr = table(spark, d, "part").select(F.concat(F.lit("size"), "p_size").alias("property"), F.col("p_size").alias("k")).distinct()
+    pr = pr.select("property", F.lit("0..1").alias("multiplicity"), F.when(k % 6 == 5, "No").when(k % 3 == 1, "Yes").alias("association_used"), F.when(k % 3 == 0, "Float").alias("datatype"))
+    dts = R.datatype_map(pr, spark.createDataFrame([], "cls string, primitive string"))
+    return R.template(cp, pr.drop("datatype"), dts)
