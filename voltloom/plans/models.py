@@ -59,6 +59,26 @@ def j4(spark, d):
     return R.constraints(pr, chain, concrete, R.datatype_map(pr, spark.createDataFrame([], "cls string, primitive string")))
 
 
+_ALL_SQL = """pr AS (SELECT 'p' || p_partkey AS property, CASE WHEN p_size = 50 THEN 'Part' WHEN p_size % 8 = 0 THEN p_type ELSE p_brand END AS domain, CASE p_size % 4 WHEN 0 THEN '1..1' WHEN 1 THEN '0..1' WHEN 2 THEN '1..n' ELSE '0..n' END AS m, CASE WHEN p_partkey % 2 = 0 THEN 'xsd:float' END AS dt, CASE WHEN p_partkey % 7 = 1 THEN 'No' WHEN p_partkey % 2 = 1 THEN 'Yes' END AS used FROM part),
+up(cls, anc) AS (SELECT p_brand, p_type FROM part UNION SELECT p_brand, 'Part' FROM part UNION SELECT p_brand, p_brand FROM part), x AS (SELECT up.cls, pr.* FROM pr JOIN up ON up.anc = pr.domain)"""
+
+
+@query("j4_generate_constraints_all", f"""WITH {_ALL_SQL} SELECT property || '-cardinality' AS shape, cls AS target_class, property AS path, 'maxCount' AS component, '0' AS parameter FROM x WHERE used = 'No'
+UNION ALL SELECT property || '-cardinality', cls, property, 'minCount', '1' FROM x WHERE coalesce(used, '') <> 'No' AND m IN ('1..1', '1..n') UNION ALL SELECT property || '-cardinality', cls, property, 'maxCount', '1' FROM x WHERE coalesce(used, '') <> 'No' AND m IN ('1..1', '0..1')
+UNION ALL SELECT property || '-datatype', cls, property, 'datatype', dt FROM x WHERE dt IS NOT NULL UNION ALL SELECT property || '-valueType', cls, property, 'class', 'cim:Target' FROM x WHERE used = 'Yes'""")
+def j4_all(spark, d):
+    """A property for every part; brands are concrete, below the types they occur with, and these below Part."""
+    k, part = F.col("p_partkey"), table(spark, d, "part")
+    m = F.element_at(F.array(*[F.lit(x) for x in ("1..1", "0..1", "1..n", "0..n")]), F.col("p_size") % 4 + 1)
+    used = F.when(k % 7 == 1, "No").when(k % 2 == 1, "Yes")
+    domain = F.when(F.col("p_size") == 50, "Part").when(F.col("p_size") % 8 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
+    pr = part.select(F.concat(F.lit("p"), k).alias("property"), domain.alias("domain"), F.when(used == "Yes", "cim:Target").alias("rng"), F.when(k % 2 == 0, "Float").alias("datatype"), m.alias("multiplicity"), used.alias("association_used"))
+    links = F.array(F.struct(F.col("p_brand").alias("s"), F.col("p_type").alias("o")), F.struct(F.col("p_type").alias("s"), F.lit("Part").alias("o")))
+    chain = part.select(F.inline(links)).distinct()
+    concrete = part.select(F.col("p_brand").alias("cls")).distinct()
+    return R.constraints(pr, chain, concrete, R.datatype_map(pr, spark.createDataFrame([], "cls string, primitive string")))
+
+
 @query("j14_skos_pivot", "SELECT DISTINCT 'skos:' || c_mktsegment AS s, p, CASE p WHEN 'rdf:type' THEN 'skos:Concept' WHEN 'skos:prefLabel' THEN c_mktsegment ELSE 'skos:Segments' END AS o FROM customer, (VALUES ('rdf:type'), ('skos:prefLabel'), ('skos:inScheme')) v(p)")
 def j14(spark, d):
     seg = table(spark, d, "customer").select("c_mktsegment").distinct()
