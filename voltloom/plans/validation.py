@@ -164,6 +164,46 @@ def l4_node(spark, d):
     return S.check(_both(spark, d), _shape("S23", "orders.o_custkey", {"node": inner}))
 
 
+def _all(spark, d, lost=False):
+    """Orders and every customer; with ``lost`` every tenth order names a customer that is in no row."""
+    k, o = F.col("o_orderkey"), table(spark, d, "orders")
+    if lost:
+        o = o.withColumn("o_custkey", F.when(k % 10 == 0, -1 - k).otherwise(F.col("o_custkey")))
+    c = M.statements(table(spark, d, "customer"), "A", "customer", "c_custkey", "cim:Customer", M.CUSTOMERS)
+    return M.order_models(o)[0].unionByName(c)
+
+
+_C_SQL = M.sql("customer", "A", "customer", "c_custkey", "cim:Customer", M.CUSTOMERS)
+_ALL = f"a AS ({M.A_SQL} UNION ALL {_C_SQL})"
+_LOST = f"a AS ({M.sql('orders', 'A', 'orders', 'o_orderkey', 'cim:Order', M.ORDERS, change={'o_custkey': 'CASE WHEN o_orderkey % 10 = 0 THEN -1 - o_orderkey ELSE o_custkey END'})} UNION ALL {_C_SQL})"
+
+
+@query("l4_class_all", f"WITH {_LOST} " + _r("S6", "orders.o_custkey", "class", value="o") + "FROM a WHERE p = 'orders.o_custkey' AND o NOT IN (SELECT s FROM a WHERE p = 'rdf:type' AND o = 'cim:Customer')")
+def l4_class_all(spark, d):
+    return S.check(_all(spark, d, lost=True), _shape("S6", "orders.o_custkey", {"class": "cim:Customer"}))
+
+
+@query("l4_inverse_path_all", f"WITH {_ALL} " + _r("S11", "^orders.o_custkey", "minCount", focus="c.s") + "FROM a c WHERE c.p = 'rdf:type' AND c.o = 'cim:Customer' AND c.s NOT IN (SELECT o FROM a WHERE p = 'orders.o_custkey')")
+def l4_inverse_all(spark, d):
+    return S.check(_all(spark, d), _shape("S11", "^orders.o_custkey", {"minCount": 1}, target_class="cim:Customer"))
+
+
+@query("l4_sequence_path_all", f"WITH {_ALL} " + _r("S12", "orders.o_custkey/customer.c_mktsegment", "in", focus="x.s", value="y.o") + "FROM a x JOIN a y ON x.p = 'orders.o_custkey' AND y.s = x.o AND y.p = 'customer.c_mktsegment' WHERE y.o NOT IN ('BUILDING', 'MACHINERY')")
+def l4_sequence_all(spark, d):
+    return S.check(_all(spark, d), _shape("S12", "orders.o_custkey/customer.c_mktsegment", {"in": ["BUILDING", "MACHINERY"]}))
+
+
+@query("l4_hasvalue_qualified_all", f"WITH {_ALL} " + _r("S21", "orders.o_orderstatus", "hasValue") + "FROM a WHERE p = 'orders.o_orderstatus' AND o <> 'F' UNION ALL " + _r("S22", "^orders.o_custkey", "qualified", focus="c.s") + "FROM (SELECT s FROM a WHERE p = 'rdf:type' AND o = 'cim:Customer') c LEFT JOIN (SELECT o, count(*) AS n FROM a WHERE p = 'orders.o_custkey' AND length(s) > 9 GROUP BY 1) x ON x.o = c.s WHERE coalesce(n, 0) NOT BETWEEN 1 AND 12")
+def l4_qualified_all(spark, d):
+    return S.validate(_all(spark, d), [_shape("S21", "orders.o_orderstatus", {"hasValue": "F"}), _shape("S22", "^orders.o_custkey", {"qualified": (1, 12, {"minLength": 10})}, target_class="cim:Customer")])
+
+
+@query("l4_node_all", f"WITH {_ALL} " + _r("S23", "orders.o_custkey", "node", focus="x.s", value="x.o") + "FROM a x JOIN a y ON x.p = 'orders.o_custkey' AND y.s = x.o AND y.p = 'customer.c_mktsegment' AND y.o <> 'BUILDING'")
+def l4_node_all(spark, d):
+    inner = _shape("N", "customer.c_mktsegment", {"in": ["BUILDING"]}, target_class="cim:Customer")
+    return S.check(_all(spark, d), _shape("S23", "orders.o_custkey", {"node": inner}))
+
+
 @query("l4_subclass_target", "WITH RECURSIVE e AS (SELECT s, o FROM triples WHERE p = 'rdfs:subClassOf' AND starts_with(o, 'http')), c(child, ancestor) AS (SELECT s, o FROM e UNION SELECT c.child, e.o FROM c JOIN e ON e.s = c.ancestor) SELECT ancestor, count(*) AS below FROM c GROUP BY 1")
 def l4_subclass(spark, d):
     e = T(spark, d, "s", "p", "o").where("p = 'rdfs:subClassOf' and o like 'http%'").select("s", "o")
