@@ -119,19 +119,75 @@ def owl_types(t: DataFrame) -> DataFrame:
     return typed.union(marked).where("o is not null").distinct().select("s", F.lit("rdf:type").alias("p"), "o")
 
 
-def signatures(t: DataFrame, nodes: DataFrame, levels: int = 3) -> DataFrame:
-    """(s, signature): what a node says, whatever its own name: its sorted p=o pairs, where an o that
-    is such a node itself stands for its signature (down to ``levels``, then for a cycle mark)."""
-    own = t.join(nodes, "s", "left_semi").select("s", "p", "o")
-    inner = nodes.select(F.col("s").alias("o"), F.lit("_:cycle").alias("sig"))
-    for _ in range(levels):
-        pairs = own.join(inner, "o", "left").select("s", F.concat_ws("=", "p", F.coalesce("sig", "o")).alias("pair"))
-        signed = pairs.groupBy("s").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set("pair")), ";"), F.lit("]")).alias("signature"))
-        inner = signed.select(F.col("s").alias("o"), F.sha2("signature", 256).alias("sig"))
-    return signed
+def _pair(value: Column) -> Column:
+    return F.concat_ws("=", "p", value)
+
+
+def _signed(pairs: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.array_sort(pairs), ";"), F.lit("]"))
 
 
-def repeated_nodes(t: DataFrame, nodes: DataFrame, levels: int = 1) -> DataFrame:
+def signatures(t: DataFrame, nodes: DataFrame, levels: int | None = None) -> DataFrame:
+    """(s, signature): what a node says, whatever its own name: its sorted p=o pairs, where an o that
+    is such a node itself stands for its signature, however deep, or for a cycle mark if the way from s
+    has been through it. Each round signs the nodes whose inner nodes are signed; what never gets
+    so far reaches a cycle. ``levels``: nodes nested deeper than that are an error."""
+    inner = nodes.select(F.col("s").alias("o"), F.lit(True).alias("inner")).where("o is not null").distinct()
+    none = F.lit(None).cast("string")
+    rows = t.join(nodes, "s", "left_semi").select("s", "p", "o").join(inner, "o", "left").select("s", "p", "o", "inner")
+    rows = rows.unionByName(nodes.select("s", none.alias("p"), none.alias("o"), F.lit(None).cast("boolean").alias("inner")))
+    plain = F.col("inner").isNull() & (F.col("p").isNotNull() | F.col("o").isNotNull())
+    said = cut(rows.groupBy("s").agg(F.collect_set(F.when(plain, _pair(F.col("o")))).alias("pairs"), F.collect_set(F.when(F.col("inner"), F.struct("p", "o"))).alias("links")))
+    done = said.where("size(links) = 0").select("s", _signed(F.col("pairs")).alias("signature"))
+    todo = said.where("size(links) > 0")
+    left, depth = todo.count(), 1
+    while left:
+        own = cut(_inner_signed(todo, done))
+        new = own.where("size(open) = 0").select("s", _signed(F.col("pairs")).alias("signature"))
+        done, todo = cut(done.unionByName(new)), cut(todo.join(new, "s", "left_anti"))
+        before, left = left, todo.count()
+        if left == before:
+            return done.unionByName(_cyclic(own))
+        depth += 1
+        if levels is not None and depth > levels:
+            raise ValueError(f"nodes are nested deeper than {levels} levels")
+    return done
+
+
+def _inner_signed(todo: DataFrame, done: DataFrame) -> DataFrame:
+    """(s, pairs, open): with the pairs of the inner nodes that are signed; open: links to the others."""
+    sig = done.select(F.col("s").alias("o"), F.sha2("signature", 256).alias("sig"))
+    each = todo.select("s", "pairs", F.inline("links")).join(sig, "o", "left")
+    known = F.when(F.col("sig").isNotNull(), _pair(F.col("sig")))
+    g = each.groupBy("s").agg(F.first("pairs").alias("own"), F.collect_list(known).alias("more"), F.collect_list(F.when(F.col("sig").isNull(), F.struct("p", "o"))).alias("open"))
+    return g.select("s", F.concat("own", "more").alias("pairs"), "open")
+
+
+def _cyclic(own: DataFrame) -> DataFrame:
+    """Signatures of the nodes that reach a cycle: all ways from each of them, until they come back to a
+    node they have been through, signed from their ends. own: (s, pairs, open), each with open links."""
+    edges = cut(own.select("s", F.inline("open")))
+    ahead = F.concat("path", F.array("o"))
+    hops, paths = [], own.select(F.array("s").alias("path"))
+    while True:
+        hop = paths.select("path", F.element_at("path", -1).alias("s")).join(edges, "s").select("path", "p", "o", F.array_contains("path", F.col("o")).alias("back"))
+        hops.append(cut(hop))
+        on = hops[-1].where("not back")
+        if on.isEmpty():
+            break
+        paths = on.select(ahead.alias("path")).distinct()
+    signed = None
+    for hop in reversed(hops):
+        sig = F.lit("_:cycle")
+        if signed is not None:
+            hop = hop.withColumn("ahead", ahead).join(signed.select(F.col("path").alias("ahead"), F.sha2("signature", 256).alias("sig")), "ahead", "left")
+            sig = F.when(F.col("back"), "_:cycle").otherwise(F.col("sig"))
+        g = hop.groupBy("path").agg(F.collect_list(_pair(sig)).alias("more")).withColumn("s", F.element_at("path", -1))
+        signed = cut(g.join(own.select("s", "pairs"), "s").select("path", _signed(F.concat("pairs", "more")).alias("signature")))
+    return signed.select(F.element_at("path", 1).alias("s"), "signature")
+
+
+def repeated_nodes(t: DataFrame, nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """(s, keep): nodes with the signature of a smaller node, which stays."""
     first = F.min("s").over(Window.partitionBy("signature"))
     return signatures(t, nodes, levels).withColumn("keep", first).where("s <> keep").select("s", "keep")

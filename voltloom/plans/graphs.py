@@ -93,6 +93,19 @@ def c12(spark, d):
     return G.repeated_nodes(t, t.select("s").distinct())
 
 
+@query("c12_bnode_nested", """WITH RECURSIVE n AS (SELECT p_partkey AS k, p_size % 2 AS v, p_partkey % 12 = 11 OR p_partkey = (SELECT max(p_partkey) FROM part) AS leaf FROM part),
+c(k, sig) AS (SELECT k, '[v=' || v || ']' FROM n WHERE leaf UNION ALL SELECT n.k, '[next=' || c.sig || ';v=' || n.v || ']' FROM n JOIN c ON c.k = n.k + 1 WHERE NOT n.leaf)
+SELECT s, keep FROM (SELECT 'part/' || k AS s, min('part/' || k) OVER (PARTITION BY sig) AS keep FROM c) WHERE s <> keep""")
+def c12_nested(spark, d):
+    """Chains of twelve parts, each nested in the one before it."""
+    k, part = F.col("p_partkey"), table(spark, d, "part")
+    name = lambda c: F.concat(F.lit("part/"), c.cast("string"))
+    part = part.crossJoin(part.agg(F.max("p_partkey").alias("last")))
+    rows = F.array(F.struct(F.lit("v").alias("p"), (F.col("p_size") % 2).cast("string").alias("o")), F.struct(F.lit("next").alias("p"), F.when((k % 12 != 11) & (k != F.col("last")), name(k + 1)).alias("o")))
+    t = part.select(name(k).alias("s"), F.inline(rows)).where("o is not null")
+    return G.repeated_nodes(t, t.select("s").distinct())
+
+
 @query("c13_rename_ns", """SELECT graph, CASE WHEN starts_with(s, 'urn:uuid:') THEN '#_' || substr(s, 10) ELSE s END AS s, p, CASE WHEN starts_with(o, 'urn:uuid:') THEN '#_' || substr(o, 10) ELSE o END AS o FROM triples""")
 def c13(spark, d):
     return G.rename_namespace(T(spark, d), "urn:uuid:", "#_", ("s", "o"))
