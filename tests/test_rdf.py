@@ -81,3 +81,9 @@ def test_small_formats(spark):
     assert [tuple(r) for r in rdf.datatype_lines(lines).collect()] == [("cim:A.b", "xsd:float")]
     csv = spark.createDataFrame([("﻿xml_inputs,ttl,notes",), ("",), ("# c",), ('"EQ;SSH","a ""b"".ttl",n',), ("lone",)], "value string")
     assert [tuple(r) for r in rdf.mapping_rows(csv).collect()] == [("EQ;SSH", 'a "b".ttl', "n")]
+
+
+def test_header_time_after_a_long_head(spark):
+    long = "<rdf:RDF>\n" + "<md:Model.DependentOn rdf:resource='urn:uuid:0'/>\n" * 3000
+    text = spark.createDataFrame([(long + "<md:Model.scenarioTime>2031-01-01T00:30:00Z</md:Model.scenarioTime>",)], "x string")
+    assert text.select(rdf.header_time(text.x)).first()[0] == "2031-01-01T00:30:00Z"

@@ -388,7 +388,7 @@ def mapping_rows(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def header_time(text: Column) -> Column:
-    """The first time in a document's head: scenario time, else start date, else any date but an end."""
-    head = F.substring(text, 1, 100_000)
-    pick = lambda tag: F.nullif(F.regexp_extract(head, rf"(?s)<[^<>]*{tag}[^<>]*>\s*([^<\s]+)", 1), F.lit(""))
+    """The first time in a document, wherever its header lies: scenario time, else start date, else any
+    date but an end."""
+    pick = lambda tag: F.nullif(F.regexp_extract(text, rf"(?s)<[^<>]*{tag}[^<>]*>\s*([^<\s]+)", 1), F.lit(""))
     return F.coalesce(pick("[sS]cenarioTime"), pick("[sS]tartDate"), pick(r"(?<![eE]nd)[dD]ate"))
