@@ -57,3 +57,15 @@ def test_lattice():
     assert promote({"boolean": 0}) == "boolean" and promote({"number": 0}) == "bigint" and promote({"number": 1}) == "double"
     assert promote({"boolean": 0, "number": 0}) == "string" and promote({"array": 0}) == "string"
     assert canonical_names([("a", "b", 5), ("b", "c", 1)], {"a": 1, "b": 9, "c": 3}) == {"a": "b", "b": "b", "c": "c"}
+
+
+def test_records_without_item_and_repeated_keys(spark):
+    a = [*items(4, kept=1), '{"gone": true, "kept": "x"}']
+    b = [*items(4, kept=1), '{"come": 1}', '{"item": null, "come": 2.5}', '{"item":"i9","twice":"x","twice":7}']
+    df = rows(spark, [("S", "a", a), ("S", "b", b)])
+    assert {tuple(r)[1:] for r in changes(df).collect()} == {("b", "removed", "gone", ""), ("b", "added", "come", ""), ("b", "added", "twice", "")}
+    t = consistent(df)
+    got = t.collect()
+    assert dict(t.dtypes)["come"] == "double" and len(got) == 12
+    assert {r.come for r in got} == {None, 1.0, 2.5} and {r.twice for r in got} == {None, 7} and {r.gone for r in got} == {None, True}
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"

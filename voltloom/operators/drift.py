@@ -7,10 +7,11 @@ boolean, array and object are each below string, so fields of mixed types become
 that were renamed go to one column. All files are cast to that schema, and the changes are logged in
 order of the files.
 
-Defined results: a line that is null or no complete JSON object, or that names a key twice, is skipped; a repeated line counts
+Defined results: a line that is null or no complete JSON object is skipped; of a key named twice the last value counts; a repeated line counts
 once; of several values of one item and field in a file the smallest by type and text counts; equal
 counts of two types are settled by the order of ``TYPES``; a file without complete records has no
-fields; a record without ``item`` is kept in the table but counts for no change; fields beyond
+fields; a record without ``item`` puts its fields into its file, but is no evidence for a
+rename and gives a type only where no item has one; fields beyond
 ``max_columns`` go to one JSON column.
 """
 
@@ -45,27 +46,38 @@ def complete(record: Column) -> Column:
     return F.when(F.try_variant_get(several, "$[1]", "variant").isNull(), F.try_variant_get(several, "$[0]", "variant"))
 
 
+def parsed(records: DataFrame) -> DataFrame:
+    """The complete records with their variant v. Spark reads the setting when it makes the plan."""
+    conf, key = records.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return records.withColumn("v", complete(F.col("record"))).where("v is not null").drop("record")
+    finally:
+        conf.set(key, before)
+
 
 def facts(records: DataFrame) -> DataFrame:
-    """(series, file, item, field, type, value): the non-null fields of each item of each file."""
-    r = pick(records, "series", "file_name", "record").withColumn("v", complete(F.col("record"))).where("v is not null").drop("record")
+    """(series, file, item, field, type, value, n): the non-null fields of each item of each file, and each
+    value of the records without item; n: how many records have it."""
+    r = parsed(pick(records, "series", "file_name", "record"))
     r.createOrReplaceTempView(name := f"voltloom_records_{abs(hash(r))}")
     rows = records.sparkSession.sql(f"SELECT series, file_name AS file, v, f.key AS field, f.value AS value FROM {name}, LATERAL variant_explode(v) AS f WHERE f.value IS NOT NULL")
     return (
         rows.select("series", "file", F.expr("try_variant_get(v, '$.item', 'string')").alias("item"), "field", json_type(F.schema_of_variant("value")).alias("type"), F.to_json("value").alias("value"))
-        .where("type is not null and item is not null and field <> 'item'")
-        .groupBy("series", "file", "item", "field")
-        .agg(F.min(F.struct("type", "value")).alias("m"))
-        .select("series", "file", "item", "field", "m.type", "m.value")
+        .where("type is not null and field <> 'item'")
+        .groupBy("series", "file", "item", "field", F.when(F.col("item").isNull(), F.struct("type", "value")).alias("lone"))
+        .agg(F.min(F.struct("type", "value")).alias("m"), F.count("*").alias("n"))
+        .select("series", "file", "item", "field", "m.type", "m.value", "n")
     )
 
 
 def file_schemas(found: DataFrame) -> DataFrame:
-    """(series, file, field, type): the most frequent type of a field in a file."""
+    """(series, file, field, type): the most frequent type of a field in a file, of its items if any."""
     rank = F.element_at(F.create_map(*[x for i, t in enumerate(TYPES) for x in (F.lit(t), F.lit(-i))]), F.col("type"))
     return (
-        found.groupBy("series", "file", "field", "type").count()
-        .groupBy("series", "file", "field").agg(F.max_by("type", F.struct("count", rank)).alias("type"))
+        found.groupBy("series", "file", "field", "type").agg(F.count("item").alias("items"), F.sum("n").alias("n"))
+        .groupBy("series", "file", "field").agg(F.max_by("type", F.struct("items", F.when(F.col("items") == 0, F.col("n")).otherwise(0), rank)).alias("type"))
     )
 
 
@@ -126,7 +138,7 @@ def consistent(records: DataFrame, max_columns: int = 500) -> DataFrame:
     field, of the lowest type that holds all its values; renamed fields share a column. Repeated
     lines stay. What is gathered at the driver is one row for each distinct field name."""
     found = cut(facts(records))
-    types = found.groupBy("field", "type").agg(F.count("*").alias("n"), F.max((F.col("value").rlike("[.eE]") | (F.length("value") > 18)).cast("int")).alias("broad"))
+    types = found.groupBy("field", "type").agg(F.count("item").alias("n"), F.max((F.col("value").rlike("[.eE]") | (F.length("value") > 18)).cast("int")).alias("broad"))
     top = types.groupBy("field").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "field").limit(max_columns)
     known = {r.field: r.n for r in top.collect()}
     kinds: dict[str, dict[str, int]] = {}
@@ -139,7 +151,7 @@ def consistent(records: DataFrame, max_columns: int = 500) -> DataFrame:
     for f in sorted(known, key=lambda f: (-known[f], f)):
         groups.setdefault(names[f], []).append(f)
     v, taken = F.col("v"), {"series", "file_name", "line_no", "item", "other_fields"}
-    r = pick(records, "series", "file_name", "line_no", "record").withColumn("v", complete(F.col("record"))).where("v is not null")
+    r = parsed(pick(records, "series", "file_name", "line_no", "record"))
     cols = []
     for name, fields in groups.items():
         seen = {k: b for f in fields for k, b in kinds[f].items()}
