@@ -36,3 +36,10 @@ def test_tenth_customer_without_orders(spark, tmp_path):
     spark.read.parquet(f"{DIR}/orders.parquet").where("o_custkey <> 10").write.parquet(f"{tmp_path}/orders.parquet")
     assert "customer/10" in {r.focus_node for r in entry.queries()["l4_inverse_path_all"](spark, str(tmp_path)).collect()}
     assert "customer/10" in {r.focus_node for r in entry.queries()["l4_hasvalue_qualified_all"](spark, str(tmp_path)).collect()}
+
+
+def test_all_switches_without_phase(spark):
+    t = {(r.s, r.p, r.o) for r in spark.read.parquet(f"{DIR}/triples.parquet").collect() if r.o is not None}
+    phased = {s for s, p, _ in t if p == "cim:SvSwitch.phase"}
+    want = sorted((s, o) for s, p, o in t if p == "cim:SvSwitch.open" and s is not None and s not in phased)
+    assert [tuple(r) for r in entry.queries()["s6_exists_order_all"](spark, DIR).collect()] == want and len(want) > 50

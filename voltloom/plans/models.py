@@ -201,3 +201,8 @@ def s5(spark, d):
 @query("s6_exists_order", "SELECT s, o AS open FROM (SELECT DISTINCT s, o FROM triples WHERE p = 'cim:SvSwitch.open' AND o IS NOT NULL) x WHERE s NOT IN (SELECT s FROM triples WHERE p = 'cim:SvSwitch.phase' AND o IS NOT NULL) ORDER BY s, open LIMIT 50")
 def s6(spark, d):
     return _sparql(spark, d, "SELECT ?s ?open WHERE { ?s cim:SvSwitch.open ?open FILTER NOT EXISTS { ?s cim:SvSwitch.phase ?x } } ORDER BY ?s ?open LIMIT 50")
+
+
+@query("s6_exists_order_all", "SELECT s, o AS open FROM (SELECT DISTINCT s, o FROM triples WHERE p = 'cim:SvSwitch.open' AND o IS NOT NULL) x WHERE s NOT IN (SELECT s FROM triples WHERE p = 'cim:SvSwitch.phase' AND o IS NOT NULL) ORDER BY s, open")
+def s6_all(spark, d):
+    return _sparql(spark, d, "SELECT ?s ?open WHERE { ?s cim:SvSwitch.open ?open FILTER NOT EXISTS { ?s cim:SvSwitch.phase ?x } } ORDER BY ?s ?open")
