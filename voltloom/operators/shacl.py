@@ -187,7 +187,8 @@ def validate(t: DataFrame, shapes: Iterable[Shape], subclass: DataFrame | None =
 
 def read_shapes(t: DataFrame, most: int = 100_000) -> list[Shape]:
     """Shapes from their own statement rows (s, p, o); lists must be flattened to repeated values.
-    A shapes graph is a small document; one of more than ``most`` rows is refused."""
+    One for each property shape and target. What can't be read is an error, for its violations would be
+    lost. A shapes graph is a small document; one of more than ``most`` rows is refused."""
     rows = t.where(F.col("p").startswith("sh:") | (F.col("p") == "rdf:type")).select("s", "p", "o").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError("too many rows for a shapes graph")
@@ -195,7 +196,12 @@ def read_shapes(t: DataFrame, most: int = 100_000) -> list[Shape]:
     for r in rows:
         by.setdefault(r.s, {}).setdefault(r.p, []).append(r.o)
     out, numbers = [], ("minCount", "maxCount", "minLength", "maxLength")
+    targets = ("sh:targetClass", "sh:targetSubjectsOf", "sh:targetObjectsOf")
+    about = {"rdf:type", "sh:name", "sh:description", "sh:order", "sh:group"}
     for name, d in sorted(by.items()):
+        used = "sh:property" in d or "sh:NodeShape" in d.get("rdf:type", []) or any(p.startswith("sh:target") for p in d)
+        if used and (bad := sorted(set(d) - {"sh:property", "sh:severity", "sh:message", *targets, *about})):
+            raise ValueError(f"{name}: {', '.join(bad)} can't be read")
         for node in sorted(d.get("sh:property", [])):
             q = by.get(node, {})
             c: dict = {}
@@ -211,6 +217,11 @@ def read_shapes(t: DataFrame, most: int = 100_000) -> list[Shape]:
                     c[k] = vals[0]
                 elif k == "nodeKind":
                     c[k] = vals[0].split(":")[-1]
+                elif p not in {"sh:path", "sh:severity", "sh:message", *about}:
+                    raise ValueError(f"{node}: {p} can't be read")
             one = lambda p, x=q: (x.get(p) or [None])[0]
-            out.append(Shape(node, one("sh:path") or "", (d.get("sh:targetClass") or [None])[0], (d.get("sh:targetSubjectsOf") or [None])[0], (d.get("sh:targetObjectsOf") or [None])[0], (one("sh:severity") or "sh:Violation").split(":")[-1], one("sh:message") or "", c))
+            for i, target in enumerate(targets):
+                for x in sorted(d.get(target, [])):
+                    at = [x if k == i else None for k in range(3)]
+                    out.append(Shape(node, one("sh:path") or "", *at, (one("sh:severity") or "sh:Violation").split(":")[-1], one("sh:message") or "", c))
     return out
