@@ -117,5 +117,53 @@ def test_vocabulary_and_names(spark):
     assert [str(r.t) for r in d.collect()] == ["2031-04-30 22:00:00", "2031-04-30 23:00:00", "2031-05-01 00:00:00"]
     head = rows(spark, ("f", "rdf:type", "md:FullModel"), ("f", "md:Model.version", " 3 "), ("f", "md:Model.created", None))
     assert {(r.p, r.o) for r in R.manifest(head).collect()} == {("dcat:version", "3"), ("dcterms:title", "g")}
-    c = spark.createDataFrame([("EQ;SSH",), ("x_CGM",), ("SV",), ("RAS",), ("?",)], "c string").select(H.category(F.col("c")).alias("k"))
-    assert [r.k for r in c.collect()] == ["CGMES_IGM_COMPLETE", "CGMES_CGM", "CGMES_SINGLE_PROFILE", "NC_SINGLE", "UNKNOWN"]
+    full = "Grid_CommonData_CGM-CD.xml;x_EQ;"
+    cases = [
+        ("NCP_v2-4-0/NC-v2-4-0_AP-Con-Complex-Common-SHACL.ttl", "", "DANGLINGREFERENCE"), ("NC_x.ttl", full, "NC_SINGLE"), ("CGMES_x.ttl", full + "Svedala;Britheim", "CGMES_CGM"),
+        ("CGMES_x.ttl", full + "SSH;TP;SV;Svedala", "CGMES_IGM_COMPLETE"), ("CGMES_x.ttl", full + "SSH;TP", "CGMES_SINGLE_PROFILE"), ("x.ttl", full, "UNKNOWN"), (None, None, "UNKNOWN"),
+    ]
+    c = spark.createDataFrame(cases, "t string, x string, k string").select("k", H.category(F.col("t"), F.col("x")).alias("got"))
+    assert all(r.k == r.got for r in c.collect())
+
+
+def test_names_of_files(spark):
+    names = [("a_SSH_EQ.xml", "p", "SSH"), ("x_AE_RAS.xml", "p", "RAS"), ("a.xml", "/in/TP/a.xml", "TP"), ("a--SV1..xml", "p", "SV"), ("EQBD-EQ.xml", "p", "EQBD"), ("sequel.xml", "p", None)]
+    n = spark.createDataFrame(names, "n string, path string, p string").select("p", N.profile(F.col("n"), F.col("path")).alias("got"))
+    assert all(r.p == r.got for r in n.collect())
+    owners = [
+        ("A B_EQ_1.xml", "/x/EQ.xml", "EQ", "A_B"), ("x_EQ_1.xml", "/m/IGM_Nord/x", "EQ", "IGM_Nord"), ("x_EQ_1.xml", "/m/TSO_a/IGM_b/x", "EQ", "TSO_a"), ("_EQ_1.xml", "/m/IGM_", "EQ", "UNKNOWN_TSO"),
+        ("20310101T0030Z-PIX-ssh.xml", "/m", "SSH", "20310101T0030Z-PIX"), ("sequel.xml", "/m", None, "UNKNOWN_TSO"),
+    ]
+    o = spark.createDataFrame(owners, "n string, path string, p string, o string").select("o", N.owner(F.col("n"), F.col("path"), F.col("p")).alias("got"))
+    assert [(r.o, r.got) for r in o.collect() if r.o != r.got] == []
+    times = ["2031-05-01T00:30:00Z", '"2031-05-01T00:30Z"', "20310501T003000Z", "20310501_003000", " 20310501T0030Z", "20310501_0030", "2031-05-01T01:30:00.000+01:00"]
+    t = spark.createDataFrame([(x,) for x in times], "t string").select(N.instant(F.col("t")).cast("string").alias("t"))
+    assert {r.t for r in t.collect()} == {"2031-05-01 00:30:00"}
+    t = spark.createDataFrame([(x,) for x in ("2031-05-01", "2031-05-01 00:30:00", "", None, "20311301_0030")], "t string").select(N.instant(F.col("t")).alias("t"))
+    assert {r.t for r in t.collect()} == {None}
+    tokens = [("REE_EQ", "REE", "REE", True), ("{ren-x}", "rte-france", "REN", False), ("RTEFRANCE_SSH", "RTE_FRANCE", "RTE", True), ("x_REE_y", "z", None, True)]
+    k = spark.createDataFrame(tokens, "t string, g string, o string, a boolean").select("o", "a", N.country_owner(F.col("t")).alias("own"), N.applies_to(F.col("t"), F.col("g")).alias("app"))
+    assert all((r.o, r.a) == (r.own, r.app) for r in k.collect())
+    states = [(2, 0, False, 2, "OK"), (3, 0, True, 2, "Too many files"), (1, 1, True, 2, "Missing - country-specific input"), (1, 1, False, 2, "Partial input - validation executed"), (0, 1, False, 2, "Missing input - skipped")]
+    s = spark.createDataFrame(states, "r int, m int, c boolean, e int, s string").select("s", N.completeness(F.col("r"), F.col("m"), F.col("c"), F.col("e")).alias("got"))
+    assert all(r.s == r.got for r in s.collect())
+
+
+def test_time_sources(spark):
+    files = [("g", "a", "2031-05-01 00:30:00", "2031-05-01 09:00:00"), ("g", "b", None, "2031-05-01 00:30:00"), ("g", "c", None, "2031-05-01 09:00:00"), ("g", "d", None, "2031-05-02 09:00:00"), ("g", "e", None, None), ("h", "f", None, "2031-05-01 00:30:00")]
+    df = spark.createDataFrame(files, "grp string, path string, header string, named string").withColumns({c: F.to_timestamp(c) for c in ("header", "named")})
+    got = {r.path: (r.source, str(r.time)[:16]) for r in H.time_sources(df).collect()}
+    assert got == {
+        "a": ("METADATA_HOUR", "2031-05-01 00:30"), "b": ("FILENAME_MAPPED_TO_SAME_HOUR_METADATA", "2031-05-01 00:30"), "c": ("FILENAME_MAPPED_TO_METADATA_HOUR", "2031-05-01 00:30"),
+        "d": ("FILENAME_HOUR", "2031-05-02 09:30"), "e": ("NONE", "None"), "f": ("FILENAME_HOUR", "2031-05-01 00:30"),
+    }
+
+
+def test_multiply_and_connect(spark):
+    t = rows(spark, ("urn:uuid:n", "rdf:type", "cim:ConnectivityNode"), ("urn:uuid:r", "rdf:type", "cim:SubGeographicalRegion"), ("urn:uuid:t", "cim:Terminal.ConnectivityNode", "urn:uuid:n"), ("urn:uuid:t", "in", "urn:uuid:r"))
+    got = K.multiply_and_connect(t, 3, "urn:uuid:n").collect()
+    ends = [r.o for r in got if r.p == "cim:Terminal.ConnectivityNode"]
+    nodes = {r.s for r in got if r.o == "cim:ConnectivityNode"}
+    assert len(nodes) == 3 and set(ends) == nodes and ends.count("urn:uuid:n") == 3 and len(ends) == 7
+    assert {r.o for r in got if r.p in ("in", "cim:Line.Region")} == {"urn:uuid:r"} and sum(r.o == "cim:ACLineSegment" for r in got) == 2
+    assert K.multiply_and_connect(t, 1, "urn:uuid:n").count() == 4

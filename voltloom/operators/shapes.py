@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.files import has_token
+from ..functions.files import has_token, report_time, time_source
 from .graph import closure
 
 
@@ -82,14 +82,33 @@ def resolve_inputs(tokens: DataFrame, files: DataFrame, profiles: Mapping[str, s
     return timed.unionByName(fixed).distinct()
 
 
-def category(inputs: Column) -> Column:
-    """What kind of run a row of inputs is."""
-    n = F.size(F.split(inputs, ";"))
-    up = F.upper(inputs)
+def category(constraints: Column, inputs: Column) -> Column:
+    """What kind of run a mapping row is, by its constraint file and its inputs. Names are fixed values."""
+    ttl, xml = F.trim(F.coalesce(constraints, F.lit(""))), F.replace(F.coalesce(inputs, F.lit("")), F.lit("\\"), F.lit("/"))
+    cgmes, has = ttl.startswith("CGMES_"), lambda x: xml.contains(x)
+    boundary = has("Grid_CommonData_CGM-CD.xml") & has("EQ")
     return (
-        F.when(up.contains("DANGLING"), "DANGLINGREFERENCE").when((n == 1) & up.rlike("(^|_)(AE|AP|PS|AS|CO|ER|IAM|RA|RAS|SAR|SIS)(_|$|[0-9])"), "NC_SINGLE").when(up.contains("CGM") & ~up.contains("IGM"), "CGMES_CGM")
-        .when((n > 1) & up.contains("EQ") & up.contains("SSH"), "CGMES_IGM_COMPLETE").when((n == 1) & up.rlike("(^|_)(EQ|SSH|TP|SV|OP)(_|$|[0-9])"), "CGMES_SINGLE_PROFILE").otherwise("UNKNOWN")
-    )
+        F.when(ttl.startswith("NCP_v2-4-0/NC-v2-4-0_AP-Con-Complex-Common-SHACL.ttl"), "DANGLINGREFERENCE")
+        .when(ttl.startswith("NC_"), "NC_SINGLE")
+        .when(cgmes & boundary & has("Britheim") & has("Svedala"), "CGMES_CGM")
+        .when(cgmes & boundary & has("SSH") & has("TP") & has("SV"), "CGMES_IGM_COMPLETE")
+        .when(cgmes, "CGMES_SINGLE_PROFILE")
+        .otherwise("UNKNOWN")
+    )
+
+
+def time_sources(files: DataFrame) -> DataFrame:
+    """files (grp, path, header, named: timestamps) with their ``source`` and the ``time`` that they are
+    filed under. A name's time is mapped by the headers of its group: of several that go with one name's
+    time, that of the smallest path counts."""
+    named, header = F.col("named"), F.col("header")
+    pairs = files.where("header is not null and named is not null").groupBy("grp", "named").agg(F.min_by("header", "path").alias("mapped"))
+    headers = files.where("header is not null").select("grp", F.col("header").alias("named"), F.lit(True).alias("same")).distinct()
+    j = files.join(headers, ["grp", "named"], "left").join(pairs, ["grp", "named"], "left")
+    half = F.coalesce("same", F.lit(False)) & (F.minute(named) == 30) & (F.second(named) == 0)
+    source = time_source(header, named, half, F.col("mapped").isNotNull())
+    time = F.coalesce(header, F.when(half, named), F.col("mapped"), named)
+    return j.select(*files.columns, source.alias("source"), report_time(time).alias("time"))
 
 
 def capped(results: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:

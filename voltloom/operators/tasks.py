@@ -68,15 +68,49 @@ def multiply(t: DataFrame, n: int) -> DataFrame:
     return copies.select(mark("graph").alias("graph"), mark("s").alias("s"), "p", F.when((F.col("o_kind") == "iri") & (F.col("p") != "rdf:type"), mark("o")).otherwise(F.col("o")).alias("o"), "o_kind", "o_dt")
 
 
-def multiply_and_connect(t: DataFrame, n: int, terminal_class: str = "cim:Terminal") -> DataFrame:
-    """n copies, each joined to the next one by a line between their smallest terminals' nodes."""
-    copies = multiply(t, n)
-    ends = copies.where((F.col("p") == "rdf:type") & (F.col("o") == terminal_class)).groupBy("graph").agg(F.min("s").alias("end"))
-    number = F.regexp_extract("graph", "-([0-9]+)$", 1).cast("int")
-    a, b = ends.select(number.alias("k"), "graph", F.col("end").alias("from")), ends.select((number - 1).alias("k"), F.col("end").alias("to"))
-    line = a.join(b, "k").withColumn("s", F.concat(F.lit("line/"), F.col("k").cast("string")))
-    rows = F.array(*[F.struct(F.lit(p).alias("p"), o.alias("o")) for p, o in (("rdf:type", F.lit("cim:ACLineSegment")), ("cim:ACLineSegment.from", F.col("from")), ("cim:ACLineSegment.to", F.col("to")))])
-    return copies.select("graph", "s", "p", "o").unionByName(line.select("graph", "s", F.inline(rows)))
+#: Classes whose objects keep their ids in copies, and what the joining line has.
+KEPT = ("md:FullModel", "cim:ControlArea", "cim:LoadArea", "cim:SubGeographicalRegion", "cim:GeographicalRegion")
+LINE = {"cim:ACLineSegment.bch": "0.0001875", "cim:ACLineSegment.gch": "0", "cim:ACLineSegment.r": "0.011", "cim:ACLineSegment.x": "0.011", "cim:Conductor.length": "0.01"}
+BASE_VOLTAGE = "urn:uuid:65dd04e7-9258-4b3b-9123-74e35dec032e"
+
+
+def multiply_and_connect(t: DataFrame, n: int, node: str, base_voltage: str = BASE_VOLTAGE, kept: tuple[str, ...] = KEPT) -> DataFrame:
+    """The model and n - 1 copies of it, in the same graphs: objects of a copy have ids of their own but for
+    those of the classes ``kept``. A line joins the connectivity node ``node`` of the model to each
+    copy's: a segment, its container and two terminals in every graph, but in SSH graphs only that
+    the terminals are connected. The container lies in the graph's smallest region, if there is one."""
+    cols = ["graph", "s", "p", "o", "o_kind"]
+    t = t.select(*cols).distinct()
+    keep = t.where((F.col("p") == "rdf:type") & F.col("o").isin(*kept)).select(F.col("s").alias("kept")).distinct()
+    j = t.join(keep, F.col("s") == F.col("kept"), "left").withColumn("keep_s", F.col("kept").isNotNull()).drop("kept")
+    j = j.join(keep, F.col("o") == F.col("kept"), "left").withColumn("keep_o", F.col("kept").isNotNull()).drop("kept")
+    turn = F.explode(F.sequence(F.lit(0), F.lit(n - 2))).alias("i") if n > 1 else F.explode(F.array().cast("array<int>")).alias("i")
+
+    def copied(c: str) -> Column:
+        return F.when(F.col(c).startswith("urn:uuid:") & ~F.col(f"keep_{c}"), _of_copy(F.col(c), "copy")).otherwise(F.col(c))
+
+    copies = j.select("*", turn).select("graph", copied("s").alias("s"), "p", copied("o").alias("o"), "o_kind")
+    # one row for each graph and copy
+    graphs = t.groupBy("graph").agg(F.min(F.when((F.col("p") == "rdf:type") & (F.col("o") == "cim:SubGeographicalRegion"), F.col("s"))).alias("region")).select("*", turn)
+    segment, line, one, two, other = (_of_copy(F.lit(node), x) for x in ("line segment", "line", "terminal 1", "terminal 2", "copy"))
+    named = lambda x: F.concat(F.lit(x + " "), F.col("i").cast("string"))
+    rows = [(x, "rdf:type", F.lit("cim:Terminal"), "iri") for x in (one, two)]
+    in_ssh = rows + [(x, "cim:ACDCTerminal.connected", F.lit("true"), "literal") for x in (one, two)]
+    in_eq = rows + [(segment, "rdf:type", F.lit("cim:ACLineSegment"), "iri"), (line, "rdf:type", F.lit("cim:Line"), "iri")]
+    in_eq += [(segment, p, F.lit(v), "literal") for p, v in LINE.items()]
+    in_eq += [(x, "cim:IdentifiedObject.name", named(y), "literal") for x, y in ((segment, "ACLineSegment"), (line, "LineEB"), (one, "TerminalEB-1"), (two, "TerminalEB-2"))]
+    in_eq += [(x, "cim:ACDCTerminal.sequenceNumber", F.lit(y), "literal") for x, y in ((one, "1"), (two, "2"))]
+    in_eq += [(segment, "cim:Equipment.EquipmentContainer", line, "iri"), (segment, "cim:ConductingEquipment.BaseVoltage", F.lit(base_voltage), "iri"), (line, "cim:Line.Region", F.col("region"), "iri")]
+    in_eq += [(x, "cim:Terminal.ConductingEquipment", segment, "iri") for x in (one, two)] + [(x, "cim:Terminal.ConnectivityNode", y, "iri") for x, y in ((one, F.lit(node)), (two, other))]
+    as_array = lambda rows: F.array(*[F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind")) for s, p, o, k in rows])
+    joined = graphs.select("graph", F.inline(F.when(F.col("graph").contains("SSH"), as_array(in_ssh)).otherwise(as_array(in_eq)))).where("o is not null")
+    return t.unionByName(copies).unionByName(joined)
+
+
+def _of_copy(old: Column, what: str) -> Column:
+    """A new id for each copy i."""
+    h = F.md5(F.concat(F.lit(what + " "), F.col("i").cast("string"), F.lit("|"), old).cast("binary"))
+    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12)))
 
 
 def multiply_over(t: DataFrame, config: list[tuple[str, str]]) -> DataFrame:
@@ -106,7 +140,7 @@ def generate(spark, cls: str, n: int, attributes: Mapping[str, tuple[str, float,
     def value(p: str, dt: str, low: float, high: float) -> Column:
         u = F.pmod(F.xxhash64(F.lit(f"{seed}|{p}"), F.col("id")), F.lit(1_000_000)) / F.lit(1_000_000.0)
         if not conform:
-            return F.lit({"xsd:integer": "1.1", "xsd:float": "1,1", "xsd:decimal": "1,1", "xsd:boolean": "truee"}.get(dt, "\u0000".strip("\0") or "nonConform"))
+            return F.lit({"xsd:integer": "1.1", "xsd:float": "1,1", "xsd:decimal": "1,1", "xsd:boolean": "truee"}.get(dt, "nonConform"))
         if dt == "xsd:integer":
             return F.floor(F.lit(low) + u * F.lit(high - low + 1)).cast("bigint").cast("string")
         if dt in ("xsd:float", "xsd:decimal"):

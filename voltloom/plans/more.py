@@ -44,7 +44,7 @@ def b10(spark, d):
 @query("b13_report_groups", "SELECT profile, regexp_extract(file_name, '^[0-9]{8}T[0-9]{4}Z_([A-Z0-9]+)_', 1) AS own, strftime(final_ts, '%Y-%m') AS month, '<group n=\"' || count(DISTINCT file_name) || '\"/>' AS xml FROM file_metadata WHERE profile IS NOT NULL GROUP BY 1, 2, 3")
 def b13(spark, d):
     m = table(spark, d, "file_metadata").where("profile is not null")
-    return m.groupBy("profile", N.owner(F.col("file_name")).alias("own"), F.date_format(F.col("final_ts").cast("timestamp"), "yyyy-MM").alias("month")).agg(F.format_string('<group n="%d"/>', F.countDistinct("file_name")).alias("xml"))
+    return m.groupBy("profile", N.party(F.col("file_name")).alias("own"), F.date_format(F.col("final_ts").cast("timestamp"), "yyyy-MM").alias("month")).agg(F.format_string('<group n="%d"/>', F.countDistinct("file_name")).alias("xml"))
 
 
 @query("o1_convert_union_owl", """WITH v AS (SELECT graph, s, p, o FROM triples WHERE contains(graph, 'vocabulary') UNION SELECT graph, s, p, o FROM triples_b WHERE contains(graph, 'vocabulary')), h AS (SELECT s FROM v WHERE p = 'rdf:type' AND o = 'owl:Ontology' EXCEPT SELECT s FROM v WHERE p = 'sh:declare'), k AS (SELECT * FROM v WHERE s NOT IN (SELECT s FROM h)),
@@ -61,9 +61,24 @@ def o2(spark, d):
     return C.convert(T(spark, d), C.ConvertOptions(inheritance_list=True, only_concrete=True))
 
 
-@query("k9_multiply_and_connect", "WITH a AS (" + M.A_SQL + "), c AS (SELECT graph || '-' || i AS graph, i, s || '-' || i AS s, p, CASE WHEN o_kind = 'iri' AND p <> 'rdf:type' THEN o || '-' || i ELSE o END AS o FROM a, range(1, 4) r(i)), e AS (SELECT graph, i, min(s) AS s FROM c WHERE p = 'rdf:type' GROUP BY 1, 2), l AS (SELECT x.graph, 'line/' || x.i AS s, x.s AS f, y.s AS t FROM e x JOIN e y ON y.i = x.i + 1) SELECT graph, s, p, o FROM c UNION ALL SELECT graph, s, 'rdf:type', 'cim:ACLineSegment' FROM l UNION ALL SELECT graph, s, 'cim:ACLineSegment.from', f FROM l UNION ALL SELECT graph, s, 'cim:ACLineSegment.to', t FROM l")
+_UUID = lambda x: f"'urn:uuid:' || substr({x}, 1, 8) || '-' || substr({x}, 9, 4) || '-' || substr({x}, 13, 4) || '-' || substr({x}, 17, 4) || '-' || substr({x}, 21, 12)"
+
+
+@query("k9_multiply_and_connect", f"""WITH t AS (SELECT DISTINCT graph, s, p, o, o_kind FROM triples WHERE p IS NOT NULL AND (contains(graph, '_EQ_') OR contains(graph, '_SSH_'))),
+skip AS (SELECT DISTINCT s FROM t WHERE p = 'rdf:type' AND o IN ('md:FullModel', 'cim:ControlArea', 'cim:LoadArea', 'cim:SubGeographicalRegion', 'cim:GeographicalRegion')),
+c AS (SELECT graph, CASE WHEN starts_with(s, 'urn:uuid:') AND s NOT IN (SELECT s FROM skip WHERE s IS NOT NULL) THEN {_UUID("md5('copy ' || i || '|' || s)")} ELSE s END AS s, p, CASE WHEN starts_with(o, 'urn:uuid:') AND o NOT IN (SELECT s FROM skip WHERE s IS NOT NULL) THEN {_UUID("md5('copy ' || i || '|' || o)")} ELSE o END AS o, o_kind FROM t, range(0, 2) r(i)),
+n AS (SELECT i, {_UUID("md5('line segment ' || i || '|urn:uuid:11111111-2222-3333-4444-555555555555')")} AS seg, {_UUID("md5('line ' || i || '|urn:uuid:11111111-2222-3333-4444-555555555555')")} AS line, {_UUID("md5('terminal 1 ' || i || '|urn:uuid:11111111-2222-3333-4444-555555555555')")} AS t1, {_UUID("md5('terminal 2 ' || i || '|urn:uuid:11111111-2222-3333-4444-555555555555')")} AS t2, {_UUID("md5('copy ' || i || '|urn:uuid:11111111-2222-3333-4444-555555555555')")} AS node FROM range(0, 2) r(i)),
+g AS (SELECT graph, contains(graph, 'SSH') AS ssh, min(CASE WHEN p = 'rdf:type' AND o = 'cim:SubGeographicalRegion' THEN s END) AS region FROM t GROUP BY graph),
+l AS (SELECT graph, ssh, region, n.* FROM g, n),
+r AS (SELECT graph, unnest([{{'s': t1, 'p': 'rdf:type', 'o': 'cim:Terminal', 'o_kind': 'iri'}}, {{'s': t1, 'p': 'cim:ACDCTerminal.connected', 'o': 'true', 'o_kind': 'literal'}}, {{'s': t2, 'p': 'rdf:type', 'o': 'cim:Terminal', 'o_kind': 'iri'}}, {{'s': t2, 'p': 'cim:ACDCTerminal.connected', 'o': 'true', 'o_kind': 'literal'}}]) AS x FROM l WHERE ssh
+UNION ALL SELECT graph, unnest([{{'s': seg, 'p': 'rdf:type', 'o': 'cim:ACLineSegment', 'o_kind': 'iri'}}, {{'s': seg, 'p': 'cim:ACLineSegment.bch', 'o': '0.0001875', 'o_kind': 'literal'}}, {{'s': seg, 'p': 'cim:ACLineSegment.gch', 'o': '0', 'o_kind': 'literal'}}, {{'s': seg, 'p': 'cim:ACLineSegment.r', 'o': '0.011', 'o_kind': 'literal'}}, {{'s': seg, 'p': 'cim:ACLineSegment.x', 'o': '0.011', 'o_kind': 'literal'}}, {{'s': seg, 'p': 'cim:Conductor.length', 'o': '0.01', 'o_kind': 'literal'}}, {{'s': seg, 'p': 'cim:IdentifiedObject.name', 'o': 'ACLineSegment ' || i, 'o_kind': 'literal'}}, {{'s': seg, 'p': 'cim:Equipment.EquipmentContainer', 'o': line, 'o_kind': 'iri'}}, {{'s': seg, 'p': 'cim:ConductingEquipment.BaseVoltage', 'o': 'urn:uuid:65dd04e7-9258-4b3b-9123-74e35dec032e', 'o_kind': 'iri'}},
+{{'s': line, 'p': 'rdf:type', 'o': 'cim:Line', 'o_kind': 'iri'}}, {{'s': line, 'p': 'cim:IdentifiedObject.name', 'o': 'LineEB ' || i, 'o_kind': 'literal'}}, {{'s': line, 'p': 'cim:Line.Region', 'o': region, 'o_kind': 'iri'}},
+{{'s': t1, 'p': 'rdf:type', 'o': 'cim:Terminal', 'o_kind': 'iri'}}, {{'s': t1, 'p': 'cim:IdentifiedObject.name', 'o': 'TerminalEB-1 ' || i, 'o_kind': 'literal'}}, {{'s': t1, 'p': 'cim:ACDCTerminal.sequenceNumber', 'o': '1', 'o_kind': 'literal'}}, {{'s': t1, 'p': 'cim:Terminal.ConductingEquipment', 'o': seg, 'o_kind': 'iri'}}, {{'s': t1, 'p': 'cim:Terminal.ConnectivityNode', 'o': 'urn:uuid:11111111-2222-3333-4444-555555555555', 'o_kind': 'iri'}},
+{{'s': t2, 'p': 'rdf:type', 'o': 'cim:Terminal', 'o_kind': 'iri'}}, {{'s': t2, 'p': 'cim:IdentifiedObject.name', 'o': 'TerminalEB-2 ' || i, 'o_kind': 'literal'}}, {{'s': t2, 'p': 'cim:ACDCTerminal.sequenceNumber', 'o': '2', 'o_kind': 'literal'}}, {{'s': t2, 'p': 'cim:Terminal.ConductingEquipment', 'o': seg, 'o_kind': 'iri'}}, {{'s': t2, 'p': 'cim:Terminal.ConnectivityNode', 'o': node, 'o_kind': 'iri'}}]) AS x FROM l WHERE NOT ssh)
+SELECT graph, s, p, o FROM t UNION SELECT graph, s, p, o FROM c UNION SELECT graph, x.s, x.p, x.o FROM r WHERE x.o IS NOT NULL""")
 def k9(spark, d):
-    return K.multiply_and_connect(_ab(spark, d)[0], 3, "cim:Order")
+    t = table(spark, d, "triples").where("p is not null and (contains(graph, '_EQ_') or contains(graph, '_SSH_'))")
+    return K.multiply_and_connect(t, 3, "urn:uuid:11111111-2222-3333-4444-555555555555").select("graph", "s", "p", "o").distinct()
 
 
 @query("m1_split_iri", "SELECT DISTINCT s, regexp_extract(s, '^(.*[#/])', 1) AS ns, regexp_extract(s, '[^#/]*$') AS name FROM triples WHERE starts_with(s, 'http')")

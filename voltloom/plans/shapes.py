@@ -80,9 +80,19 @@ def d13(spark, d):
     return H.resolve_inputs(tokens, files, {"EQ": "static", "SV": "timestamped", "SSH": "timestamped"})
 
 
-@query("l7_categorise", "SELECT path, CASE WHEN contains(upper(path), 'DANGLING') THEN 'DANGLINGREFERENCE' WHEN contains(upper(path), 'CGM') AND NOT contains(upper(path), 'IGM') THEN 'CGMES_CGM' WHEN regexp_matches(upper(file_name), '(^|_)(AE|AP|PS|AS|CO|ER|IAM|RA|RAS|SAR|SIS)(_|$|[0-9])') THEN 'NC_SINGLE' WHEN regexp_matches(upper(file_name), '(^|_)(EQ|SSH|TP|SV|OP)(_|$|[0-9])') THEN 'CGMES_SINGLE_PROFILE' ELSE 'UNKNOWN' END AS category FROM (SELECT DISTINCT path, file_name FROM file_metadata)")
+@query("l7_categorise", """WITH m AS (SELECT file_group, strftime(final_ts, '%Y-%m-%d') AS day, string_agg(DISTINCT file_name, ';' ORDER BY file_name) AS files FROM file_metadata WHERE file_group IS NOT NULL AND final_ts IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT file_group, day, CASE file_group WHEN 'intraday' THEN 'CGMES_all.ttl' WHEN 'archive' THEN 'NC_all.ttl' WHEN 'inbox' THEN 'NCP_v2-4-0/NC-v2-4-0_AP-Con-Complex-Common-SHACL.ttl' ELSE 'other.ttl' END AS ttl, files || CASE WHEN day < '2031-03-01' THEN ';Grid_CommonData_CGM-CD.xml' WHEN day < '2031-05-01' THEN ';Grid_CommonData_CGM-CD.xml;Svedala_EQ;Britheim_EQ' ELSE '' END AS xml FROM m)
+SELECT file_group, day, CASE WHEN starts_with(ttl, 'NCP_v2-4-0/NC-v2-4-0_AP-Con-Complex-Common-SHACL.ttl') THEN 'DANGLINGREFERENCE' WHEN starts_with(ttl, 'NC_') THEN 'NC_SINGLE'
+WHEN starts_with(ttl, 'CGMES_') AND contains(xml, 'Grid_CommonData_CGM-CD.xml') AND contains(xml, 'EQ') AND contains(xml, 'Svedala') AND contains(xml, 'Britheim') THEN 'CGMES_CGM'
+WHEN starts_with(ttl, 'CGMES_') AND contains(xml, 'Grid_CommonData_CGM-CD.xml') AND contains(xml, 'EQ') AND contains(xml, 'SSH') AND contains(xml, 'TP') AND contains(xml, 'SV') THEN 'CGMES_IGM_COMPLETE' WHEN starts_with(ttl, 'CGMES_') THEN 'CGMES_SINGLE_PROFILE' ELSE 'UNKNOWN' END AS category FROM x""")
 def l7(spark, d):
-    return table(spark, d, "file_metadata").select("path", "file_name").distinct().select("path", H.category(F.col("file_name")).alias("category"))
+    """Mapping rows of each group's files of a day, with a constraint file by group."""
+    m = table(spark, d, "file_metadata").where("file_group is not null and final_ts is not null")
+    m = m.groupBy("file_group", F.date_format(F.col("final_ts").cast("timestamp"), "yyyy-MM-dd").alias("day")).agg(F.array_join(F.array_sort(F.collect_set("file_name")), ";").alias("files"))
+    g, day, more = F.col("file_group"), F.col("day"), "Grid_CommonData_CGM-CD.xml"
+    ttl = F.when(g == "intraday", "CGMES_all.ttl").when(g == "archive", "NC_all.ttl").when(g == "inbox", "NCP_v2-4-0/NC-v2-4-0_AP-Con-Complex-Common-SHACL.ttl").otherwise("other.ttl")
+    xml = F.concat("files", F.when(day < "2031-03-01", f";{more}").when(day < "2031-05-01", f";{more};Svedala_EQ;Britheim_EQ").otherwise(""))
+    return m.select("file_group", "day", H.category(ttl, xml).alias("category"))
 
 
 @query("l5_result_extraction", f"WITH {_SHAPES}, m AS (SELECT s, max(CASE WHEN p = 'sh:name' THEN o END) AS name, max(CASE WHEN p = 'sh:message' THEN o END) AS description FROM t GROUP BY 1), k AS (SELECT length(s) AS k, min(s) AS s FROM m GROUP BY 1) SELECT event_id, m.s AS source_shape, name, description FROM events JOIN k ON k.k = 20 + event_id % 60 JOIN m ON m.s = k.s")
@@ -131,16 +141,20 @@ def k6(spark, d):
 
 @query("k16_header_dependencies", "WITH h AS (SELECT DISTINCT file_name, profile, strftime(final_ts, '%Y-%m-%d') AS day, regexp_extract(file_name, '^[0-9]{8}T[0-9]{4}Z_([A-Z0-9]+)_', 1) AS own FROM file_metadata WHERE profile IN ('EQ', 'SSH', 'SV')) SELECT a.file_name, b.file_name AS depends_on FROM h a JOIN h b ON a.own = b.own AND a.day = b.day WHERE (a.profile, b.profile) IN (('SSH', 'EQ'), ('SV', 'SSH'))")
 def k16(spark, d):
-    m = table(spark, d, "file_metadata").where("profile in ('EQ', 'SSH', 'SV')").select("file_name", "profile", F.date_format(F.col("final_ts").cast("timestamp"), "yyyy-MM-dd").alias("day"), N.owner(F.col("file_name")).alias("own")).distinct()
+    m = table(spark, d, "file_metadata").where("profile in ('EQ', 'SSH', 'SV')").select("file_name", "profile", F.date_format(F.col("final_ts").cast("timestamp"), "yyyy-MM-dd").alias("day"), N.party(F.col("file_name")).alias("own")).distinct()
     needs = F.when(F.col("profile") == "SSH", "EQ").when(F.col("profile") == "SV", "SSH")
     a = m.select("file_name", "day", "own", needs.alias("profile")).where("profile is not null")
     return a.join(m.withColumnRenamed("file_name", "depends_on"), ["profile", "day", "own"]).select("file_name", "depends_on")
 
 
-@query("m7_country_owner", "SELECT DISTINCT file_name, CASE WHEN contains(file_name, '_REE_') THEN 'REE' WHEN contains(file_name, '_REN_') THEN 'REN' WHEN contains(file_name, '_RTE') THEN 'RTE' END AS owner FROM file_metadata")
+@query("m7_country_owner", """WITH x AS (SELECT DISTINCT file_name, file_group, replace(upper(trim(regexp_extract(file_name, '[^_]*_(.*)', 1))), '-', '_') AS t, replace(replace(upper(file_group), '-', ''), '_', '') AS g FROM file_metadata WHERE file_group IS NOT NULL),
+y AS (SELECT *, CASE WHEN starts_with(t, 'REE_') THEN 'REE' WHEN starts_with(t, 'REN_') THEN 'REN' WHEN starts_with(t, 'RTEFRANCE_') OR starts_with(t, 'RTE_') THEN 'RTE' END AS owner FROM x)
+SELECT file_name, file_group, owner, owner IS NULL OR g = owner OR (owner = 'RTE' AND g = 'RTEFRANCE') AS applies FROM y""")
 def m7(spark, d):
-    n = F.col("file_name")
-    return table(spark, d, "file_metadata").select(n, F.when(n.contains("_REE_"), "REE").when(n.contains("_REN_"), "REN").when(n.contains("_RTE"), "RTE").alias("owner")).distinct()
+    """The tokens are file names without their time."""
+    t = F.regexp_extract("file_name", "[^_]*_(.*)", 1)
+    m = table(spark, d, "file_metadata").where("file_group is not null")
+    return m.select("file_name", "file_group", N.country_owner(t).alias("owner"), N.applies_to(t, F.col("file_group")).alias("applies")).distinct()
 
 
 @query("m18_array_functions", "SELECT o_custkey AS k, len(list_distinct(array_agg(o_orderpriority))) AS n, list_contains(array_agg(o_orderpriority), '1-URGENT') AS urgent FROM orders GROUP BY 1")

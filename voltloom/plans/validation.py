@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import files as N
 from ..operators import shacl as S
+from ..operators import shapes as H
 from ..operators import statistics as E
 from ..operators.graph import closure
 from ..sources import mapping as M
@@ -269,32 +270,52 @@ def l8(spark, d):
     return _decisions(spark, d).select("k", N.run_decision(*c).alias("runs"))
 
 
-@query("l9_completeness", f"""WITH x AS ({_DEC}) SELECT k, CASE WHEN other THEN 'Only inputs of another country are missing' WHEN missing > 0 AND resolved > 0 AND (NOT other AND expected > 1) THEN 'Partial input - validation executed'
-WHEN missing > 0 THEN 'Missing input - validation skipped' WHEN resolved > expected THEN 'Too many files' ELSE 'OK' END AS status FROM x""")
+@query("l9_completeness", f"""WITH x AS ({_DEC}) SELECT k, CASE WHEN missing > 0 AND other THEN 'Missing - country-specific input' WHEN missing > 0 AND resolved > 0 AND expected > 1 THEN 'Partial input - validation executed'
+WHEN missing > 0 THEN 'Missing input - skipped' WHEN resolved > expected THEN 'Too many files' ELSE 'OK' END AS status FROM x""")
 def l9(spark, d):
     c = [F.col(x) for x in ("resolved", "missing", "other", "expected")]
     return _decisions(spark, d).select("k", N.completeness(*c).alias("status"))
 
 
-_PROFILE = "CASE " + " ".join(f"WHEN regexp_matches(upper(regexp_replace(file_name, '[^A-Za-z0-9]', '_', 'g')), '(^|_){p}[0-9]*($|_)') THEN '{p}'" for p in N.PROFILES) + " END"
+#: Written out by hand, in the order in which the marks are looked for.
+_PROFILE = """CASE WHEN regexp_matches(m, '(^|_)EQBD[0-9]*($|_)') THEN 'EQBD' WHEN regexp_matches(m, '(^|_)TPBD[0-9]*($|_)') THEN 'TPBD' WHEN regexp_matches(m, '(^|_)SSH[0-9]*($|_)') THEN 'SSH' WHEN regexp_matches(m, '(^|_)SSI[0-9]*($|_)') THEN 'SSI'
+WHEN regexp_matches(m, '(^|_)SIS[0-9]*($|_)') THEN 'SIS' WHEN regexp_matches(m, '(^|_)RAS[0-9]*($|_)') THEN 'RAS' WHEN regexp_matches(m, '(^|_)SAR[0-9]*($|_)') THEN 'SAR' WHEN regexp_matches(m, '(^|_)IAM[0-9]*($|_)') THEN 'IAM' WHEN regexp_matches(m, '(^|_)AE[0-9]*($|_)') THEN 'AE'
+WHEN regexp_matches(m, '(^|_)EQ[0-9]*($|_)') THEN 'EQ' WHEN regexp_matches(m, '(^|_)TP[0-9]*($|_)') THEN 'TP' WHEN regexp_matches(m, '(^|_)SV[0-9]*($|_)') THEN 'SV' WHEN regexp_matches(m, '(^|_)AP[0-9]*($|_)') THEN 'AP' WHEN regexp_matches(m, '(^|_)PS[0-9]*($|_)') THEN 'PS'
+WHEN regexp_matches(m, '(^|_)AS[0-9]*($|_)') THEN 'AS' WHEN regexp_matches(m, '(^|_)CO[0-9]*($|_)') THEN 'CO' WHEN regexp_matches(m, '(^|_)ER[0-9]*($|_)') THEN 'ER' WHEN regexp_matches(m, '(^|_)RA[0-9]*($|_)') THEN 'RA' WHEN regexp_matches(m, '(^|_)OP[0-9]*($|_)') THEN 'OP' END"""
+_MARKED = "SELECT DISTINCT file_name, path, regexp_replace(upper(file_name || ' ' || path), '[^A-Z0-9]+', '_', 'g') AS m FROM file_metadata"
 
 
-@query("m5_profile_detect", f"SELECT DISTINCT file_name, {_PROFILE} AS profile FROM file_metadata")
+@query("m5_profile_detect", f"SELECT file_name, path, {_PROFILE} AS profile FROM ({_MARKED})")
 def m5(spark, d):
-    return table(spark, d, "file_metadata").select("file_name", N.profile(F.col("file_name")).alias("profile")).distinct()
+    return table(spark, d, "file_metadata").select("file_name", "path", N.profile(F.col("file_name"), F.col("path")).alias("profile")).distinct()
 
 
-@query("m6_owner", "SELECT regexp_extract(file_name, '^[0-9]{8}T[0-9]{4}Z_([A-Z0-9]+)_', 1) AS owner, count(DISTINCT file_name) AS files FROM file_metadata GROUP BY 1")
+@query("m6_owner", f"""WITH x AS (SELECT file_name, path, {_PROFILE} AS profile FROM ({_MARKED})), y AS (SELECT *, trim(regexp_extract(path, '(?:^|/) *((?:IGM|TSO)_[^/]+)', 1)) AS folder, least(nullif(instr(upper(file_name), '_' || profile || '_'), 0), nullif(instr(upper(file_name), '-' || profile || '-'), 0), nullif(instr(upper(file_name), '_' || profile || '.'), 0), nullif(instr(upper(file_name), '-' || profile || '.'), 0)) AS place FROM x),
+z AS (SELECT *, CASE WHEN place > 1 THEN regexp_replace(regexp_replace(substr(file_name, 1, place - 1), '[^A-Za-z0-9_-]+', '_', 'g'), '_+$', '') END AS before FROM y)
+SELECT file_name, path, CASE WHEN folder <> '' THEN folder WHEN before <> '' THEN before ELSE 'UNKNOWN_TSO' END AS owner FROM z""")
 def m6(spark, d):
-    return table(spark, d, "file_metadata").groupBy(N.owner(F.col("file_name")).alias("owner")).agg(F.countDistinct("file_name").alias("files"))
+    m = table(spark, d, "file_metadata").select("file_name", "path").distinct()
+    return m.select("file_name", "path", N.owner(F.col("file_name"), F.col("path"), N.profile(F.col("file_name"), F.col("path"))).alias("owner"))
 
 
-@query("m10_normalize_ts", "SELECT DISTINCT file_name, try_strptime(header_ts, '%Y-%m-%dT%H:%M:%SZ') AS header, try_strptime(filename_ts, '%Y%m%dT%H%MZ') AS named FROM file_metadata")
+_HEADER, _NAMED = "try_strptime(header_ts, '%Y-%m-%dT%H:%M:%SZ')", "try_strptime(filename_ts, '%Y%m%dT%H%MZ')"
+
+
+@query("m10_normalize_ts", f"SELECT DISTINCT file_name, {_HEADER} AS header, {_NAMED} AS named FROM file_metadata")
 def m10(spark, d):
     ntz = lambda c: N.instant(F.col(c)).cast("timestamp").cast("timestamp_ntz")
     return table(spark, d, "file_metadata").select("file_name", ntz("header_ts").alias("header"), ntz("filename_ts").alias("named")).distinct()
 
 
+@query("m16_time_source", f"""WITH f AS (SELECT coalesce(file_group, '') AS grp, path, {_HEADER} AS header, {_NAMED} AS named FROM file_metadata), h AS (SELECT DISTINCT grp, header FROM f WHERE header IS NOT NULL), m AS (SELECT grp, named, arg_min(header, path) AS mapped FROM f WHERE header IS NOT NULL AND named IS NOT NULL GROUP BY 1, 2),
+x AS (SELECT f.*, m.mapped, h.header IS NOT NULL AND minute(f.named) = 30 AND second(f.named) = 0 AS same FROM f LEFT JOIN h ON h.grp = f.grp AND h.header = f.named LEFT JOIN m ON m.grp = f.grp AND m.named = f.named)
+SELECT grp, path, CASE WHEN header IS NOT NULL THEN 'METADATA_HOUR' WHEN named IS NOT NULL AND same THEN 'FILENAME_MAPPED_TO_SAME_HOUR_METADATA' WHEN named IS NOT NULL AND mapped IS NOT NULL THEN 'FILENAME_MAPPED_TO_METADATA_HOUR' WHEN named IS NOT NULL THEN 'FILENAME_HOUR' ELSE 'NONE' END AS source,
+CAST(date_trunc('hour', CASE WHEN header IS NOT NULL THEN header WHEN same THEN named WHEN mapped IS NOT NULL THEN mapped ELSE named END) + INTERVAL 30 MINUTE AS TIMESTAMP) AS time FROM x""")
+def m16(spark, d):
+    m = table(spark, d, "file_metadata").select(F.coalesce("file_group", F.lit("")).alias("grp"), "path", N.instant(F.col("header_ts")).alias("header"), N.instant(F.col("filename_ts")).alias("named"))
+    return H.time_sources(m).select("grp", "path", "source", "time")
+
+
 @query("m13_report_time", "SELECT event_id, CAST(date_trunc('hour', ts) + INTERVAL 30 MINUTE AS TIMESTAMP) AS report FROM events")
 def m13(spark, d):
     return table(spark, d, "events").select("event_id", N.report_time(F.col("ts")).alias("report"))
@@ -305,12 +326,6 @@ def m15(spark, d):
     return table(spark, d, "events").select("event_id", N.market_hour(F.date_trunc("day", F.col("ts").cast("timestamp")), (F.col("event_id") % 24 + 1).cast("int")).alias("start"))
 
 
-@query("m16_time_source", """WITH x AS (SELECT file_name, try_strptime(header_ts, '%Y-%m-%dT%H:%M:%SZ') AS h, try_strptime(filename_ts, '%Y%m%dT%H%MZ') AS f FROM file_metadata)
-SELECT DISTINCT file_name, CASE WHEN h IS NOT NULL AND f IS NOT NULL AND date_trunc('hour', h) = date_trunc('hour', f) AND minute(f) = 30 AND second(f) = 0 THEN 'FILENAME_MAPPED_TO_SAME_HOUR' WHEN h IS NOT NULL THEN 'METADATA_HOUR' WHEN f IS NOT NULL THEN 'FILENAME_HOUR' ELSE 'NONE' END AS source FROM x""")
-def m16(spark, d):
-    return table(spark, d, "file_metadata").select("file_name", N.time_source(N.instant(F.col("header_ts")).cast("timestamp"), N.instant(F.col("filename_ts")).cast("timestamp")).alias("source")).distinct()
-
-
 @query("m3_safe_name", "SELECT DISTINCT path, regexp_replace(path, '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM file_metadata")
 def m3(spark, d):
     return table(spark, d, "file_metadata").select("path", N.safe_name(F.col("path")).alias("safe")).distinct()
