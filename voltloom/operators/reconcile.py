@@ -158,28 +158,31 @@ def _roots(batches):
         yield from pa.Table.from_batches([batch]).select(["bucket", "x"]).filter(pa.array(r == 0)).to_batches()
 
 
-def elements(rows: DataFrame, buckets: int) -> DataFrame:
-    """The rows with their bucket and field element, hashes of all columns (null is a value)."""
+def elements(rows: DataFrame) -> DataFrame:
+    """The rows with a hash that places them in a bucket and their field element, hashes of all columns
+    (null is a value)."""
     key = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in rows.columns]
-    return rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit("bucket"), *key), F.lit(buckets).cast("bigint"))).withColumn(
-        "x", F.xxhash64(*key).bitwiseAND(F.lit(POINTS - 1).cast("bigint"))
-    )
+    return rows.withColumn("place", F.xxhash64(F.lit("bucket"), *key)).withColumn("x", F.xxhash64(*key).bitwiseAND(F.lit(POINTS - 1).cast("bigint")))
 
 
 def reconcile(a: DataFrame, b: DataFrame, per_bucket: int = PER_BUCKET, first: int = FIRST) -> DataFrame:
     """(side 'a' or 'b', the columns): the distinct rows of two tables of the same columns that the
-    other side lacks. Nulls are equal to nulls; repeated rows count once."""
+    other side lacks. Nulls are equal to nulls; repeated rows count once.
+
+    Each side is computed and written once, and shuffled once, into its buckets. Buckets that differ
+    in more than ``per_bucket`` elements (a bulk difference) have no use for polynomials: their elements
+    are compared directly."""
     cols = a.columns
-    size = a.count() + b.count()
-    buckets = max(1, size // (2 * per_bucket))
-    a, b = elements(a, buckets), elements(b.select(*cols), buckets)
-    keys = [cut(side.select("bucket", "x").distinct().repartition("bucket")) for side in (a, b)]
-    active, bound, found = None, first, []
+    a, b = cut(elements(a)), cut(elements(b.select(*cols)))
+    buckets = max(1, (a.count() + b.count()) // (2 * per_bucket))
+    bucket = F.pmod("place", F.lit(buckets).cast("bigint")).alias("bucket")
+    # a partition holds whole buckets; so do the partitions of what is written
+    keys = [cut(side.select(bucket, "x").repartition("bucket").distinct()) for side in (a, b)]
+    own, bound, found = keys, first, []
     while True:
         points = bound + 1 + EXTRA
-        own = [k if active is None else k.join(active, "bucket", "left_semi") for k in keys]
         sa, sb = (
-            k.repartition("bucket").mapInArrow(_sketch(points), "bucket bigint, n bigint, values array<bigint>").select("bucket", F.col("n").alias(f"n{s}"), F.col("values").alias(f"v{s}"))
+            k.mapInArrow(_sketch(points), "bucket bigint, n bigint, values array<bigint>").select("bucket", F.col("n").alias(f"n{s}"), F.col("values").alias(f"v{s}"))
             for k, s in zip(own, "ab")
         )
         both = sa.join(sb, "bucket", "full").where("not (va <=> vb and na <=> nb)").select("bucket", "na", "va", "nb", "vb")
@@ -190,13 +193,18 @@ def reconcile(a: DataFrame, b: DataFrame, per_bucket: int = PER_BUCKET, first: i
         failed = solved.where("top is null").select("bucket")
         if failed.isEmpty():
             break
-        active, bound = failed, bound * 2
+        own, bound = [k.join(failed, "bucket", "left_semi") for k in keys], bound * 2
+        if bound > per_bucket:
+            for side, k, other in (("a", own[0], own[1]), ("b", own[1], own[0])):
+                found.append(k.join(other, ["bucket", "x"], "left_anti").select("bucket", "x", F.lit(side).alias("side")))
+            break
+        own = [k.repartition("bucket") for k in own]
     keys_found = found[0]
     for more in found[1:]:
         keys_found = keys_found.unionByName(more)
     keys_found = cut(keys_found)
     out = [
-        side.join(keys_found.where(F.col("side") == s).select("bucket", "x"), ["bucket", "x"], "left_semi").select(F.lit(s).alias("side"), *cols).distinct()
+        side.withColumn("bucket", bucket).join(keys_found.where(F.col("side") == s).select("bucket", "x"), ["bucket", "x"], "left_semi").select(F.lit(s).alias("side"), *cols).distinct()
         for side, s in ((a, "a"), (b, "b"))
     ]
     return out[0].unionByName(out[1])
