@@ -10,8 +10,8 @@ judged against their own changes at the exact time.
 Bitmaps are compressed as sorted 16-bit arrays up to 4096 members, as plain bits beyond.
 
 What is shuffled by key is aggregated first (distinct key and time), so a key with a third of all
-references is no larger than its distinct times; the references themselves meet the judged keys in a
-salted join.
+references is no larger than its distinct times; the references themselves, written once, meet the judged
+keys in a join that splits the keys with very many rows by their number.
 
 Defined results: a reference with a null graph or subject or blank target is none; one whose time is
 unknown is not judged; a change whose time is unknown doesn't count; of a declaration and a
@@ -30,8 +30,8 @@ from ..sources.tables import cut
 DAY = 86_400_000_000
 RANGE = 1 << 16
 ARRAY_MOST = 4096
-#: Copies of the smaller side of a join whose keys may be hot.
-SALT = 8
+#: Rows of one key that a task of a join takes, and keys at most that are split for having more.
+PART_ROWS, MAX_HOT = 1_000_000, 10_000
 
 
 class Bitmap:
@@ -141,23 +141,35 @@ def _survive(batches):
         yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([period] * len(own), pa.int64())], names=["id", "period"])
 
 
-def salted(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner", n: int = SALT) -> DataFrame:
-    """df joined with a smaller table, whose rows are copied ``n`` times so that the rows of a hot
-    key go to as many tasks."""
-    spread = F.pmod(F.hash(*df.columns), F.lit(n))
-    copies = other.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return df.withColumn("__salt", spread).join(copies, [*keys, "__salt"], how).drop("__salt")
+def salted(df: DataFrame, other: DataFrame, keys: list[str], counts: DataFrame, how: str = "inner", rows: int = PART_ROWS) -> DataFrame:
+    """df joined with a smaller table. counts: (keys, count) of df. The rows of a key with more than ``rows``
+    of them go to as many tasks as that takes, and the other table's row of that key is copied as
+    often; all other keys are joined as they are.
+
+    The hot keys are gathered: of n rows at most n / rows keys can be hot, and at most MAX_HOT are split."""
+    hot = counts.where(F.col("count") > rows).orderBy(F.desc("count")).limit(MAX_HOT)
+    parts = hot.select(*keys, F.ceil(F.col("count") / rows).cast("int").alias("__parts"))
+    found = parts.collect()
+    if not found:
+        return df.join(other, keys, how)
+    parts = F.broadcast(df.sparkSession.createDataFrame(found, parts.schema))
+    n = F.coalesce("__parts", F.lit(1))
+    left = df.join(parts, keys, "left").withColumn("__salt", F.pmod(F.hash(*df.columns), n)).drop("__parts")
+    right = other.join(parts, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("__parts")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def orphans(references: DataFrame, changes: DataFrame, period: int = DAY) -> DataFrame:
     """The references (extra columns, target, t) whose target does not exist at time t, with their
     status: ``deleted``, ``late`` or ``missing``. changes: (target, t, alive boolean); t is BIGINT
     microseconds on both."""
-    asked = cut(references.where("target is not null and t is not null").select("target", "t").distinct())
+    references = cut(references.where("target is not null and t is not null"))
+    asked = cut(references.groupBy("target", "t").count())
     # dense integers; the dictionary is written, for they differ between runs
     keys = cut(asked.select("target").distinct().withColumn("id", F.monotonically_increasing_id()))
     known = changes.where("target is not null and t is not null").groupBy("target", "t").agg(F.min("alive").alias("alive"))
     known = cut(known.join(keys, "target").select("id", "t", "alive"))
+    counts = asked
     asked = cut(asked.join(keys, "target").select("id", "target", "t"))
     day = F.floor(F.col("t") / F.lit(period)).cast("bigint")
     by_day = known.groupBy("id", day.alias("period")).agg(F.max_by("alive", "t").alias("last"), F.min("alive").alias("least"))
@@ -181,7 +193,7 @@ def orphans(references: DataFrame, changes: DataFrame, period: int = DAY) -> Dat
     judged = line.withColumn("was", F.last("alive", ignorenulls=True).over(past)).withColumn("ever", F.max("alive").over(Window.partitionBy("id")))
     status = F.when(F.col("was"), F.lit(None).cast("string")).when(~F.col("was"), "deleted").when(F.col("ever"), "late").otherwise("missing")
     judged = judged.where("asks = 1").select("target", "t", status.alias("status")).where("status is not null")
-    return salted(references, judged, ["target", "t"])
+    return salted(references, judged, ["target", "t"], counts)
 
 
 def report(found: DataFrame, periods: DataFrame) -> DataFrame:

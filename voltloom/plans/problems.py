@@ -127,13 +127,14 @@ def _references(spark: SparkSession, d: str) -> DataFrame:
     switch = t.where("p = 'cim:SvSwitch.Switch'").withColumn("o", object_id(F.col("o")))
     category = expand(t.where("p = 'cims:belongsToCategory'").distinct(), table(spark, d, "prefixes"), "o")
     refs = switch.unionByName(category).distinct()
-    return O.salted(refs, arrivals(spark, d).select("graph", "t"), ["graph"]).select("graph", "s", "p", F.col("o").alias("target"), "t")
+    return O.salted(refs, arrivals(spark, d).select("graph", "t"), ["graph"], t.groupBy("graph").count()).select("graph", "s", "p", F.col("o").alias("target"), "t")
 
 
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     rows = pick(table(spark, d, "triples"), "graph", "s", "p").where("p = 'rdf:type' and s is not null")
+    counts = rows.groupBy("graph").count()
     rows = rows.select("graph", object_id(F.col("s")).alias("target")).distinct()
-    there = O.salted(rows, arrivals(spark, d).select("graph", "t"), ["graph"]).select("target", "t", F.lit(True).alias("alive"))
+    there = O.salted(rows, arrivals(spark, d).select("graph", "t"), ["graph"], counts).select("target", "t", F.lit(True).alias("alive"))
     x = pick(table(spark, d, "difference_rows"), "side", "s", "p", "created_at").where("p = 'rdf:type' and side in ('forward', 'reverse')")
     moved = x.select(object_id(F.col("s")).alias("target"), F.expr("unix_micros(cast(created_at AS timestamp))").alias("t"), (F.col("side") == "forward").alias("alive"))
     return there.unionByName(moved)
