@@ -59,7 +59,7 @@ def without_isolated(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def expand_inputs(mapping: DataFrame, column: str = "xml_inputs") -> DataFrame:
     """(row, token, zipped) of mapping rows (row, xml_inputs): tokens by semicolon."""
-    t = F.explode(F.transform(F.split(column, ";"), F.trim))
+    t = F.explode(F.transform(F.split(column, ";"), lambda x: F.trim(x)))
     return mapping.select("row", t.alias("token")).where("token <> ''").select("row", F.regexp_replace("token", "^(?i)ZIP:", "").alias("token"), F.upper("token").startswith("ZIP:").alias("zipped"))
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import catalogue, problems, problems_sql
 
-for _name in ("graphs", "joins", "validation", "models", "files", "shapes", "more"):
+for _name in ("graphs", "joins", "validation", "models", "files", "shapes", "more", "runs"):
     try:
         import_module(f"{__package__}.{_name}")
     except ModuleNotFoundError as e:
