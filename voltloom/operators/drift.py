@@ -8,7 +8,7 @@ that were renamed go to one column. All files are cast to that schema, and the c
 order of the files.
 
 Defined results: a line that is null or no complete JSON object is skipped; of a key named twice the last value counts; a repeated line counts
-once; of several values of one item and field in a file the smallest by type and text counts; equal
+once; of several values of one item and field in a file the smallest by type and hash counts; equal
 counts of two types are settled by the order of ``TYPES``; a file without complete records has no
 fields; a record without ``item`` puts its fields into its file, but is no evidence for a
 rename and gives a type only where no item has one; fields beyond
@@ -27,23 +27,26 @@ from ..sources.tables import cut
 TYPES = ("string", "number", "boolean", "array", "object")
 
 
-def json_type(kind: Column) -> Column:
-    """The JSON type for what schema_of_variant gives."""
+_SORTED = sorted(TYPES)
+_HASH = (1 << 60) - 1
+
+
+def json_type(text: Column) -> Column:
+    """The JSON type of a value's JSON text, as its place in _SORTED; null for null."""
+    first = F.substring(text, 1, 1)
+    of = {t: F.lit(i) for i, t in enumerate(_SORTED)}
     return (
-        F.when(kind == "VOID", F.lit(None).cast("string"))
-        .when(kind == "STRING", "string")
-        .when(kind == "BOOLEAN", "boolean")
-        .when(kind.startswith("ARRAY"), "array")
-        .when(kind.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
+        F.when(first == '"', of["string"]).when(first == "{", of["object"]).when(first == "[", of["array"])
+        .when(first.isin("t", "f"), of["boolean"]).when(first != "n", of["number"])
+    )
 
 
 def complete(record: Column) -> Column:
-    """The record as a variant if it is one complete JSON object, else null."""
+    """An array of the record as a variant if it is one complete JSON object, else of null."""
     # the parser stops after a text's first value and doesn't see what follows; in brackets it does
     several = F.try_parse_json(F.when(F.ltrim(record, F.lit(" \t\r\n")).startswith("{"), F.concat(F.lit("["), record, F.lit("]"))))
-    return F.when(F.try_variant_get(several, "$[1]", "variant").isNull(), F.try_variant_get(several, "$[0]", "variant"))
+    # named in a lambda function, so that it is parsed once
+    return F.transform(F.array(several), lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull(), F.try_variant_get(x, "$[0]", "variant")))
 
 
 def parsed(records: DataFrame) -> DataFrame:
@@ -52,31 +55,39 @@ def parsed(records: DataFrame) -> DataFrame:
     before = conf.get(key)
     conf.set(key, "true")
     try:
-        return records.withColumn("v", complete(F.col("record"))).where("v is not null").drop("record")
+        # a generator, for a filter would parse each record once more
+        return records.withColumn("v", F.explode(F.array_compact(complete(F.col("record"))))).drop("record")
     finally:
         conf.set(key, before)
 
 
 def facts(records: DataFrame) -> DataFrame:
-    """(series, file, item, field, type, value, n): the non-null fields of each item of each file, and each
-    value of the records without item; n: how many records have it."""
-    r = parsed(pick(records, "series", "file_name", "record"))
-    r.createOrReplaceTempView(name := f"voltloom_records_{abs(hash(r))}")
-    rows = records.sparkSession.sql(f"SELECT series, file_name AS file, v, f.key AS field, f.value AS value FROM {name}, LATERAL variant_explode(v) AS f WHERE f.value IS NOT NULL")
-    return (
-        rows.select("series", "file", F.expr("try_variant_get(v, '$.item', 'string')").alias("item"), "field", json_type(F.schema_of_variant("value")).alias("type"), F.to_json("value").alias("value"))
-        .where("type is not null and field <> 'item'")
-        .groupBy("series", "file", "item", "field", F.when(F.col("item").isNull(), F.struct("type", "value")).alias("lone"))
-        .agg(F.min(F.struct("type", "value")).alias("m"), F.count("*").alias("n"))
-        .select("series", "file", "item", "field", "m.type", "m.value", "n")
-    )
+    """(series, file, item, field, packed, broad, n): the non-null fields of each item (a hash) of each
+    file, and each value of the records without item. packed: the value's JSON type from bit 60 on, and a
+    hash of its JSON text; broad: whether it is a number that needs double; n: how many records have it.
+
+    What is shuffled and written is fixed in size but for names, whatever the size of the values."""
+    r = parsed(pick(records, "series", "file_name", "record")).select("series", F.col("file_name").alias("file"), F.xxhash64(F.expr("try_variant_get(v, '$.item', 'string')")).alias("h"), F.expr("try_variant_get(v, '$.item', 'string') IS NULL").alias("lone"), "v")
+    rows = r.lateralJoin(records.sparkSession.tvf.variant_explode(F.col("v").outer()).select("key", "value"))
+    text = rows.where("key <> 'item'").select("series", "file", F.when(~F.col("lone"), F.col("h")).alias("item"), F.col("key").alias("field"), F.to_json("value").alias("text"))
+    kind = json_type(F.col("text"))
+    packed = F.shiftleft(kind.cast("bigint"), 60).bitwiseOR(F.xxhash64("text").bitwiseAND(F.lit(_HASH)))
+    broad = (kind == F.lit(_SORTED.index("number"))) & (F.col("text").rlike("[.eE]") | (F.length("text") > 18))
+    rows = text.select("series", "file", "item", "field", packed.alias("packed"), broad.cast("int").alias("broad")).where("packed is not null")
+    return rows.groupBy("series", "file", "item", "field", F.when(F.col("item").isNull(), F.col("packed")).alias("lone")).agg(
+        F.min("packed").alias("packed"), F.max("broad").alias("broad"), F.count("*").alias("n")
+    ).drop("lone")
+
+
+def _type(packed: str = "packed") -> Column:
+    return F.element_at(F.array(*map(F.lit, _SORTED)), F.shiftright(packed, 60).cast("int") + F.lit(1))
 
 
 def file_schemas(found: DataFrame) -> DataFrame:
     """(series, file, field, type): the most frequent type of a field in a file, of its items if any."""
     rank = F.element_at(F.create_map(*[x for i, t in enumerate(TYPES) for x in (F.lit(t), F.lit(-i))]), F.col("type"))
     return (
-        found.groupBy("series", "file", "field", "type").agg(F.count("item").alias("items"), F.sum("n").alias("n"))
+        found.groupBy("series", "file", "field", _type().alias("type")).agg(F.count("item").alias("items"), F.sum("n").alias("n"))
         .groupBy("series", "file", "field").agg(F.max_by("type", F.struct("items", F.when(F.col("items") == 0, F.col("n")).otherwise(0), rank)).alias("type"))
     )
 
@@ -93,11 +104,13 @@ def changes(records: DataFrame, least_items: int = 3, share: float = 0.9, found:
     later = schemas.join(steps, ["series", "file"]).select("series", "file", "before", "field", F.col("type").alias("new"), F.lit(None).cast("string").alias("old"))
     earlier = schemas.withColumnRenamed("file", "before").join(steps, ["series", "before"]).select("series", "file", "before", "field", F.lit(None).cast("string").alias("new"), F.col("type").alias("old"))
     both = cut(later.unionByName(earlier).groupBy("series", "file", "before", "field").agg(F.max("old").alias("old"), F.max("new").alias("new")).where("old is null or new is null or old <> new"))
-    out_of = both.where("new is null").select("series", F.col("before").alias("at_file"), "field", "file")
-    into = both.where("old is null").select("series", F.col("file").alias("at_file"), "field", "file")
-    values = found.withColumnRenamed("file", "at_file")
-    gone = values.join(out_of, ["series", "at_file", "field"]).select("series", "file", "item", "field", F.col("value").alias("was"))
-    come = values.join(into, ["series", "at_file", "field"]).select("series", "file", "item", F.col("field").alias("new_field"), F.col("value").alias("is"))
+    # where values are needed: of a field that goes, in the file before; of one that comes, in the file itself
+    at = F.when(F.col("new").isNull(), F.col("before")).when(F.col("old").isNull(), F.col("file"))
+    needed = both.select("series", at.alias("at_file"), "field", F.col("file").alias("to"), F.col("new").isNull().alias("goes")).where("at_file is not null")
+    values = found.where("item is not null").select("series", F.col("file").alias("at_file"), "field", "item", "packed")
+    values = cut(values.join(needed, ["series", "at_file", "field"]).select("series", F.col("to").alias("file"), "item", "field", "packed", "goes"))
+    gone = values.where("goes").select("series", "file", "item", "field", F.col("packed").alias("was"))
+    come = values.where("not goes").select("series", "file", "item", F.col("field").alias("new_field"), F.col("packed").alias("is"))
     renamed = cut(
         gone.join(come, ["series", "file", "item"])
         .groupBy("series", "file", "field", "new_field")
@@ -138,7 +151,7 @@ def consistent(records: DataFrame, max_columns: int = 500) -> DataFrame:
     field, of the lowest type that holds all its values; renamed fields share a column. Repeated
     lines stay. What is gathered at the driver is one row for each distinct field name."""
     found = cut(facts(records))
-    types = found.groupBy("field", "type").agg(F.count("item").alias("n"), F.max((F.col("value").rlike("[.eE]") | (F.length("value") > 18)).cast("int")).alias("broad"))
+    types = found.groupBy("field", _type().alias("type")).agg(F.count("item").alias("n"), F.max("broad").alias("broad"))
     top = types.groupBy("field").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "field").limit(max_columns)
     known = {r.field: r.n for r in top.collect()}
     kinds: dict[str, dict[str, int]] = {}
