@@ -143,5 +143,33 @@ def test_cuts_prefer_natural_boundaries():
     assert all(strong[e] >= 3 for _, e in cut_at)
 
 
+def test_search_for_cuts_is_short():
+    calls = []
+
+    def fits(s, e):
+        calls.append((s, e))
+        return e < n or e - s <= 1
+
+    for n in (2_000, 8_000):
+        calls.clear()
+        found = split.cuts(n, 64, 16, np.zeros(n + 1, np.int8), fits)
+        assert (found is None or found[-1][1] == n) and len(calls) < 40 * n
+
+
+def test_overlap_short_is_marked(spark):
+    df = spark.createDataFrame([(1, "abc def ghi " * 40)], "doc_id bigint, text string")
+    rows = split.split(df, PATH, [(1, 20, 5)]).collect()
+    assert not any(r.overlap_short for r in rows) and all(r.overlap_tokens >= 5 for r in rows if r.piece)
+    df = spark.createDataFrame([(1, "日本語🤖🤖" * 3)], "doc_id bigint, text string")
+    rows = split.split(df, PATH, [(1, 7, 6)]).collect()
+    assert all(r.overlap_short == (r.piece > 0 and r.overlap_tokens < 6) for r in rows) and any(r.overlap_short for r in rows)
+
+
+@pytest.mark.parametrize("name", ["p6_sizes", "p7_holds", "p8_holds"])
+def test_what_holds(spark, name):
+    rows = plans.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(r.holds for r in rows)
+
+
 def test_plans_are_registered():
     assert set(plans.oracle_sql()) <= set(plans.queries()) and "p6_ids" in plans.queries()

@@ -3,8 +3,9 @@
 Items are spread by hash over groups of about ``PER_GROUP``. Each group is packed by best fit
 decreasing in one task, and dual feasible functions give a lower bound of its containers. A group
 that meets its bound is certified optimal and stays. The groups with a gap exchange their items (a
-new hash over those groups) and are packed again, for ``rounds`` rounds; a new packing of them is kept
-if it takes fewer containers.
+new hash over those groups) and are packed again, until all groups of a capacity are certified, one is
+left, or a round gains no container; a new packing is kept if it takes fewer containers. Each round but the
+last saves a container, so there are no more rounds than the gap has containers.
 
 An item larger than the capacity is cut into full containers and a rest, which is packed like any
 other item. Sizes are integers; items of size 0 or null need no container. Equal sizes are taken in
@@ -14,13 +15,14 @@ their own.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PER_GROUP = 50_000
-ROUNDS = 3
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -76,7 +78,7 @@ def _pack(capacity_of: dict[int, int]):
     return run
 
 
-def pack(items: DataFrame, capacities: dict[int, int], cut, per_group: int = PER_GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, capacities: dict[int, int], cut, per_group: int = PER_GROUP) -> DataFrame:
     """(limit_id, capacity, container, id, part, start, n, optimal_from): which container holds which
     part of which item. items: (id, n). ``cut`` writes a table and reads it again. ``optimal_from`` is
     the lower bound of the containers of the row's group, ``containers`` what it took."""
@@ -104,7 +106,7 @@ def pack(items: DataFrame, capacities: dict[int, int], cut, per_group: int = PER
         return cut(shaped.groupBy("limit_id", "grp").applyInPandas(_pack(capacity_of), schema))
 
     now, kept = packed(rest, groups, 0), []
-    for turn in range(1, rounds + 1):
+    for turn in count(1):
         # one row for each group: bounded by the number of groups, items / per_group
         gaps = now.where("bins > bound").select("limit_id", "grp", "bins").distinct()
         sums = {r.limit_id: (r.g, r.b) for r in gaps.groupBy("limit_id").agg(F.count("*").alias("g"), F.sum("bins").alias("b")).collect() if r.g > 1}

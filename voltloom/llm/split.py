@@ -8,8 +8,12 @@ encoding the piece alone, one more piece is tried.
 
 Cuts lie between tokens and never within a character: where an overlap would begin within one, it
 begins at the last token before it that doesn't. Where a text can't be cut with the stated overlap
-(characters of several tokens, an overlap close to the capacity) the overlap is halved until it can;
-a character that exceeds the capacity alone is a piece of its own. Texts no longer than the capacity, null and empty
+(characters of several tokens, an overlap close to the capacity) the overlap is halved until it can, and
+``overlap_short`` is true for the pieces that repeat less than stated for that; a character that exceeds the
+capacity alone is a piece of its own.
+
+After a failure the number of pieces grows by a growing step (1, 2, 4 ...), and from the last failure to the
+first success by halves, so a text takes a number of attempts that grows with the logarithm of its length. Texts no longer than the capacity, null and empty
 texts have no pieces.
 """
 
@@ -36,7 +40,7 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 OTHER_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-SCHEMA = "limit_id int, id {id}, piece int, start_token bigint, n_tokens int, overlap_tokens int, start_char bigint, n_chars bigint, text string"
+SCHEMA = "limit_id int, id {id}, piece int, start_token bigint, n_tokens int, overlap_tokens int, overlap_short boolean, start_char bigint, n_chars bigint, text string"
 
 
 def strengths(data: bytes, at: np.ndarray) -> np.ndarray:
@@ -67,40 +71,52 @@ def cuts(n: int, capacity: int, overlap: int, strong: np.ndarray, fits) -> list[
     """(start, end) in tokens of each piece. strong: strength of the cut before each token and at
     the end. fits(start, end): whether the piece alone is short enough."""
     step = capacity - overlap
-    pieces = max(2, -(-(n - overlap) // step))
+    least = max(2, -(-(n - overlap) // step))
     valid = np.flatnonzero(strong >= 0)
-    while pieces <= n:
-        mean = (n - overlap) / pieces
-        out, start, end, good = [], 0, 0, True
-        for j in range(1, pieces + 1):
-            target = round(overlap + mean * j) if j < pieces else n
-            if j == pieces:
-                new = n
-            else:
-                # not beyond the capacity, nor so early that the rest can't be covered
-                most = min(start + capacity, n - 1, target + int(mean * NEAR))
-                least = max(end + 1, n - (pieces - j) * step, target - int(mean * NEAR))
-                lo, hi = np.searchsorted(valid, least), np.searchsorted(valid, most, "right")
-                if lo >= hi:
-                    good = False
-                    break
-                near = valid[lo:hi]
-                new = int(near[np.lexsort((near, np.abs(near - target), -strong[near]))[0]])
-            if new - start > capacity or not fits(start, new):
-                good = False
-                break
-            out.append((start, new))
-            end = new
-            if j < pieces:
-                begin = max(end - overlap, 0)
-                start = int(valid[np.searchsorted(valid, begin, "right") - 1])
-                if start <= out[-1][0] and overlap:
-                    good = False
-                    break
-        if good:
-            return out
-        pieces += 1
-    return None
+    # few texts need more pieces than the least number: the search is by doubled steps, then by halves
+    low, jump, high, found = least - 1, 1, None, None
+    while high is None:
+        pieces = min(low + jump, n)
+        if (out := attempt(n, pieces, capacity, overlap, strong, valid, fits)) is not None:
+            high, found = pieces, out
+        elif pieces == n:
+            return None
+        else:
+            low, jump = pieces, jump * 2
+    while high - low > 1:
+        middle = (low + high) // 2
+        if (out := attempt(n, middle, capacity, overlap, strong, valid, fits)) is not None:
+            high, found = middle, out
+        else:
+            low = middle
+    return found
+
+
+def attempt(n: int, pieces: int, capacity: int, overlap: int, strong: np.ndarray, valid: np.ndarray, fits) -> list[tuple[int, int]] | None:
+    """So many pieces, or None if one of them would be too long."""
+    step, mean = capacity - overlap, (n - overlap) / pieces
+    out, start, end = [], 0, 0
+    for j in range(1, pieces + 1):
+        new = n
+        if j < pieces:
+            target = round(overlap + mean * j)
+            # not beyond the capacity, nor so early that the rest can't be covered
+            most = min(start + capacity, n - 1, target + int(mean * NEAR))
+            least = max(end + 1, n - (pieces - j) * step, target - int(mean * NEAR))
+            lo, hi = np.searchsorted(valid, least), np.searchsorted(valid, most, "right")
+            if lo >= hi:
+                return None
+            near = valid[lo:hi]
+            new = int(near[np.lexsort((near, np.abs(near - target), -strong[near]))[0]])
+        if new - start > capacity or not fits(start, new):
+            return None
+        out.append((start, new))
+        end = new
+        if j < pieces:
+            start = int(valid[np.searchsorted(valid, max(end - overlap, 0), "right") - 1])
+            if start <= out[-1][0] and overlap:
+                return None
+    return out
 
 
 def clean_cuts(data: bytes, ends: np.ndarray) -> np.ndarray:
@@ -137,9 +153,8 @@ def pieces_of(ends: np.ndarray, data: bytes, clean: np.ndarray, capacity: int, o
         valid = np.flatnonzero(strong >= 0)
         found, start = [], 0
         while start < n:
-            after = valid[(valid > start) & (valid <= start + capacity)]
-            fitting = [int(e) for e in after[::-1] if fits(start, int(e))][:1]
-            end = fitting[0] if fitting else int(valid[valid > start][0])
+            i, j = np.searchsorted(valid, start, "right"), np.searchsorted(valid, start + capacity, "right")
+            end = next((int(e) for e in valid[i:j][::-1] if fits(start, int(e))), int(valid[i]))
             found.append((start, end))
             start = end
     return found
@@ -156,7 +171,7 @@ def split(documents: DataFrame, path: str, limits: list[tuple[int, int, int]], i
         table = [encoder.decode_single_token_bytes(i) for i in range(encoder.n_vocab)]
         lengths = np.array([len(t) for t in table], np.int64)
         for b in batches:
-            id_at, cols = [], [[] for _ in range(8)]
+            id_at, cols = [], [[] for _ in range(9)]
             held = 0
             for row, text in enumerate(b.column(1).to_pylist()):
                 if not text:
@@ -177,19 +192,19 @@ def split(documents: DataFrame, path: str, limits: list[tuple[int, int, int]], i
                         id_at.append(row)
                         piece = data[ends[s] : ends[e]].decode()
                         held += len(piece)
-                        for c, v in zip(cols, (limit, k, s, e - s, before - s if k else 0, int(chars[s]), len(piece), piece)):
+                        for c, v in zip(cols, (limit, k, s, e - s, before - s if k else 0, bool(k) and before - s < overlap, int(chars[s]), len(piece), piece)):
                             c.append(v)
                         before = e
                 if held > 1 << 25:
                     yield _batch(b, id_at, cols)
-                    id_at, cols, held = [], [[] for _ in range(8)], 0
+                    id_at, cols, held = [], [[] for _ in range(9)], 0
             yield _batch(b, id_at, cols)
 
     return texts.mapInArrow(run, SCHEMA.format(id=dict(texts.dtypes)["id"]))
 
 
 def _batch(b: pa.RecordBatch, id_at: list[int], cols: list[list]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
     limit, *rest = [pa.array(c, k) for c, k in zip(cols, kinds)]
     ids = b.column(0).take(pa.array(id_at, pa.int64()))
-    return pa.RecordBatch.from_arrays([limit, ids, *rest], names=["limit_id", "id", "piece", "start_token", "n_tokens", "overlap_tokens", "start_char", "n_chars", "text"])
+    return pa.RecordBatch.from_arrays([limit, ids, *rest], names=["limit_id", "id", "piece", "start_token", "n_tokens", "overlap_tokens", "overlap_short", "start_char", "n_chars", "text"])
