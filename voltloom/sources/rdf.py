@@ -373,10 +373,23 @@ def assign_datatypes(t: DataFrame, datatypes: DataFrame) -> DataFrame:
     return t.join(m, F.col("p") == F.col("__p"), "left").withColumn("o_dt", F.when(keep, F.col("o_dt")).otherwise(F.coalesce("__dt", F.lit("xsd:string")))).drop("__p", "__dt")
 
 
+#: The datatypes of XML Schema and RDF that a line may declare.
+DATATYPES = (
+    "string", "boolean", "decimal", "integer", "double", "float", "date", "time", "dateTime", "dateTimeStamp",
+    "gYear", "gMonth", "gDay", "gYearMonth", "gMonthDay", "duration", "yearMonthDuration", "dayTimeDuration",
+    "byte", "short", "int", "long", "unsignedByte", "unsignedShort", "unsignedInt", "unsignedLong",
+    "positiveInteger", "nonNegativeInteger", "negativeInteger", "nonPositiveInteger", "hexBinary", "base64Binary",
+    "anyURI", "language", "normalizedString", "token", "NMTOKEN", "Name", "NCName", "QName", "NOTATION", "ID", "IDREF", "ENTITY",
+)
+RDF_DATATYPES = ("langString", "XMLLiteral", "HTML", "JSON")
+
+
 def datatype_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(p, dt) of lines ``IRI=Datatype[xsd -> class]``; others are left out."""
+    """(p, dt) of lines ``IRI=Datatype[xsd -> class]``; others, and those with an unknown datatype, are left out."""
     v = F.col(column)
-    return lines.select(F.trim(F.substring_index(v, "=", 1)).alias("p"), F.trim(F.regexp_extract(v, r"=[^\[]*\[([^\]>]*?)(?:\s*->.*)?\]", 1)).alias("dt")).where(~v.startswith("#") & (F.col("dt") != ""))
+    xsd, rdf = ("xsd:", "http://www.w3.org/2001/XMLSchema#"), ("rdf:", "http://www.w3.org/1999/02/22-rdf-syntax-ns#")
+    known = F.col("dt").isin([a + x for a in xsd for x in DATATYPES] + [a + x for a in rdf for x in RDF_DATATYPES])
+    return lines.select(F.trim(F.substring_index(v, "=", 1)).alias("p"), F.trim(F.regexp_extract(v, r"=[^\[]*\[([^\]>]*?)(?:\s*->.*)?\]", 1)).alias("dt")).where(~v.startswith("#") & known)
 
 
 def mapping_rows(lines: DataFrame, column: str = "value") -> DataFrame:
