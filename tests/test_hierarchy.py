@@ -56,3 +56,28 @@ def test_cycle_across_blocks_and_clashing_columns(spark):
 
 def test_empty(spark):
     assert hierarchy(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_deep_chain_over_blocks(spark):
+    """A chain of 10,000 levels through alternating namespaces, one of them larger than a block, and a circle of blocks."""
+    ns = lambda i: f"http://{'a' if i % 2 else 'b' if i % 3 else 'c'}/x#{i}"
+    rows = [("p", ns(i), ns(i - 1)) for i in range(1, 10_001)] + [("q", f"http://r{i % 3}/{i}", f"http://r{(i + 1) % 60 % 3}/{(i + 1) % 60}") for i in range(60)] + [("q", "leaf", "http://r0/0")]
+    df = spark.createDataFrame(rows, "p string, node string, parent string")
+    got = {(r.p, r.node): r for r in hierarchy(df, block=1_000, paths=False).collect()}
+    assert all(got["p", ns(i)].depth == i and got["p", ns(i)].root == ns(0) for i in range(10_001))
+    assert {r.status for (p, n), r in got.items() if p == "q" and n != "leaf"} == {"cycle"} and got["q", "leaf"].status == "under_cycle" and len(got) == 10_062
+
+
+def test_paths_agree_with_depths(spark):
+    rng = random.Random(4)
+    rows = [(p, f"n{i % 7}#{i}", f"n{j % 7}#{j}") for p in "pq" for i in range(1, 400) for j in [rng.randrange(0 if p == "p" else -3, i + (p == "q" and rng.random() < 0.02))]]
+    df = spark.createDataFrame(rows, "p string, node string, parent string")
+    for block in (20, 100_000):
+        full, short = hierarchy(df, block=block).collect(), hierarchy(df, block=block, paths=False).collect()
+        assert {(r.p, r.node, r.root, r.depth, r.status) for r in full} == {(r.p, r.node, r.root, r.depth, r.status) for r in short}
+        assert all(len(r.path) == r.depth + 1 and r.path[0] == r.root and r.path[-1] == r.node for r in full if not r.status)
+        under = {}
+        for r in full:
+            for x in (r.path or [])[:-1]:
+                under[r.p, x] = under.get((r.p, x), 0) + 1
+        assert all(r.below == under.get((r.p, r.node), 0) for r in full if not r.status)

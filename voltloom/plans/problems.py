@@ -34,7 +34,7 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     depth = F.when(F.col("status") == "cycle", -1).when(F.col("status") == "under_cycle", -2).otherwise(F.col("depth"))
-    return H.hierarchy(_links(spark, d)).select("p", "node", F.coalesce("root", F.lit("")).alias("root"), depth.cast("bigint").alias("depth"))
+    return H.hierarchy(_links(spark, d), paths=False).select("p", "node", F.coalesce("root", F.lit("")).alias("root"), depth.cast("bigint").alias("depth"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
