@@ -167,3 +167,22 @@ def test_multiply_and_connect(spark):
     assert len(nodes) == 3 and set(ends) == nodes and ends.count("urn:uuid:n") == 3 and len(ends) == 7
     assert {r.o for r in got if r.p in ("in", "cim:Line.Region")} == {"urn:uuid:r"} and sum(r.o == "cim:ACLineSegment" for r in got) == 2
     assert K.multiply_and_connect(t, 1, "urn:uuid:n").count() == 4
+
+
+def test_nearest_is_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    a = [(i, rng.choice("xyz" if i % 9 else "w"), rng.randrange(60)) for i in range(300)] + [(900, None, 1), (901, "x", None)]
+    b = [(i, rng.choice("xxxxy"), rng.randrange(0, 60, 3)) for i in range(80)] + [(990, "x", None)]
+    df = [spark.createDataFrame(x, "k int, g string, v int") for x in (a, b)]
+    want = {(g, i, v, *min((abs(v - w), j, w) for j, h, w in b if h == g and w is not None)[1:]) for i, g, v in a if g in ("x", "y") and v is not None}
+    for pieces in (1, 7, 200):
+        assert {tuple(r) for r in D.nearest(*df, ["g"], "v", ("k", "k"), pieces=pieces).collect()} == want
+    assert D.nearest(df[0].limit(0), df[1].limit(0), ["g"], "v", ("k", "k")).count() == 0
+
+
+def test_inject(spark):
+    t = rows(spark, ("a", "rdf:type", "C"), ("a", "p", "1"), ("b", "rdf:type", "C"), ("b", "rdf:type", "D"), ("c", "q", "1"))
+    v = spark.createDataFrame([("C", "p", "9"), ("C", "p", "8"), ("D", "q", "7")], "cls string, p string, o string")
+    assert {tuple(r) for r in K.inject(t, v).collect()} == {("g", "b", "p", "8"), ("g", "b", "q", "7")}

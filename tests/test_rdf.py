@@ -87,3 +87,20 @@ def test_header_time_after_a_long_head(spark):
     long = "<rdf:RDF>\n" + "<md:Model.DependentOn rdf:resource='urn:uuid:0'/>\n" * 3000
     text = spark.createDataFrame([(long + "<md:Model.scenarioTime>2031-01-01T00:30:00Z</md:Model.scenarioTime>",)], "x string")
     assert text.select(rdf.header_time(text.x)).first()[0] == "2031-01-01T00:30:00Z"
+
+
+def test_discovery(spark):
+    from pyspark.sql import functions as F
+
+    from voltloom.sources import discovery as V
+
+    paths = ["/m/a.xml", "/m/./a.xml", "/m//a.XML", "/m/out/b.xml", "/m/sub/c.xml", "/m/d.rdf", None, "C:\\x\\e.xml"]
+    df = spark.createDataFrame([(p, 1) for p in paths], "path string, PATH2 int")
+    assert sorted(r.path for r in V.discover(df, ignored=("out",)).collect()) == ["/m/a.XML", "/m/a.xml", "/m/sub/c.xml", "C:/x/e.xml"]
+    assert [r.path for r in V.discover(df, glob="/m/*/{c,d}.xml").collect()] == ["/m/sub/c.xml"]
+    texts = [
+        ('<h md:scenarioTime="2031-05-01T00:30:00Z"/>', True), ("<md:Model.scenarioTime> 20310501T0030Z</md:Model.scenarioTime>", True), ("scenarioTime\tis 2031-05-01T00:30Z", True),
+        ('scenarioTime="soon" scenarioTime="20310501_0030"', True), ("scenarioTime " + "x" * 400 + "20310501_0030", False), ("", False), (None, False),
+    ]
+    t = spark.createDataFrame(texts, "t string, ok boolean").select("ok", V.near_field(F.col("t"), "scenarioTime").cast("string").alias("at"))
+    assert all(r.at == ("2031-05-01 00:30:00" if r.ok else None) for r in t.collect())

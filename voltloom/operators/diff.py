@@ -73,13 +73,37 @@ def profile_diff(a: DataFrame, b: DataFrame, key: str, fields: Iterable[str]) ->
     return j.where("value_a <> value_b")
 
 
-def nearest(a: DataFrame, b: DataFrame, key: list[str], value: str, ids: tuple[str, str]) -> DataFrame:
+def nearest(a: DataFrame, b: DataFrame, key: list[str], value: str, ids: tuple[str, str], pieces: int = 200) -> DataFrame:
     """Each row of a with the row of b of the same key whose value is nearest (of equals the smaller
-    id). A best-so-far aggregate, partial before its shuffle, not a sort of all pairs."""
-    x = a.select(*key, F.col(ids[0]).alias("id_a"), F.col(value).alias("value_a"))
-    y = b.select(*key, F.col(ids[1]).alias("id_b"), F.col(value).alias("value_b"))
-    best = F.min_by(F.struct("id_b", "value_b"), F.struct(F.abs(F.col("value_a") - F.col("value_b")), F.col("id_b")))
-    return x.join(y, key).groupBy(*key, "id_a", "value_a").agg(best.alias("b")).select(*key, "id_a", "value_a", "b.*")
+    id). Rows without key or value, and keys that b lacks, have none.
+
+    No pairs are made: both sides lie in order of their values, and a row's neighbours are the last value
+    of b before it and the first one behind it. A key is cut into ranges of values that hold about as
+    many rows each, so that no task sorts a hot one; neighbours beyond a range come from one row a range."""
+    x = a.select(*key, F.col(value).alias("v"), F.col(ids[0]).alias("id_a"), F.lit(None).cast(dict(b.dtypes)[ids[1]]).alias("id_b"))
+    y = b.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("v")).agg(F.min(ids[1]).alias("id_b"))
+    both = x.where("v is not null").unionByName(y.withColumn("id_a", F.lit(None).cast(dict(a.dtypes)[ids[0]])))
+    shares = F.array(*[F.lit(i / pieces) for i in range(1, pieces)])
+    bounds = both.agg(F.percentile_approx("v", shares, 10_000).alias("b")).first().b or []
+    if bounds:
+        limits = F.array(*[F.lit(v) for v in sorted(set(bounds))])
+        both = both.withColumn("part", F.size(F.filter(limits, lambda u: u < F.col("v"))))
+    else:
+        both = both.withColumn("part", F.lit(0))
+    own = F.when(F.col("id_b").isNotNull(), F.struct("v", "id_b"))
+    edges = both.groupBy(*key, "part").agg(F.max(own).alias("last"), F.min(own).alias("first"))
+    line = Window.partitionBy(*key).orderBy("part")
+    edges = edges.select(
+        *key, "part", F.last("last", True).over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(line.rowsBetween(1, Window.unboundedFollowing)).alias("behind")
+    )
+    up = Window.partitionBy(*key, "part").orderBy("v")
+    down = Window.partitionBy(*key, "part").orderBy(F.desc("v"))
+    near = both.select("*", F.last(own, True).over(up).alias("low"), F.last(own, True).over(down).alias("high")).where("id_a is not null")
+    near = near.join(edges, [*key, "part"]).withColumn("low", F.coalesce("low", "before")).withColumn("high", F.coalesce("high", "behind"))
+    far = lambda c: F.abs(F.col("v") - F.col(f"{c}.v"))
+    as_high = F.col("low").isNull() | (far("high") < far("low")) | ((far("high") == far("low")) & (F.col("high.id_b") < F.col("low.id_b")))
+    best = F.when(F.col("high").isNotNull() & as_high, F.col("high")).otherwise(F.col("low"))
+    return near.withColumn("best", best).where("best is not null").select(*key, "id_a", F.col("v").alias("value_a"), "best.id_b", F.col("best.v").alias("value_b"))
 
 
 def overlap_first(a: DataFrame, b: DataFrame, member: str) -> DataFrame:

@@ -61,6 +61,15 @@ def rename_values(t: DataFrame, names: DataFrame, predicates: list[str]) -> Data
     return j.withColumn("o", F.coalesce("__new", "o")).drop("__old", "__new")
 
 
+def inject(t: DataFrame, values: DataFrame) -> DataFrame:
+    """(graph, s, p, o) to be added: each subject of a graph that is of a class of ``values`` (cls, p, o) and has no
+    statement with that p there. Of several values for a class and p the smallest counts, of several classes too."""
+    wanted = values.groupBy("cls", "p").agg(F.min("o").alias("o"))
+    typed = t.where(F.col("p") == "rdf:type").select("graph", "s", F.col("o").alias("cls")).distinct()
+    lacking = typed.join(wanted, "cls").join(t.select("graph", "s", "p"), ["graph", "s", "p"], "left_anti")
+    return lacking.groupBy("graph", "s", "p").agg(F.min("o").alias("o"))
+
+
 def multiply(t: DataFrame, n: int) -> DataFrame:
     """n copies of a model, each with ids and a graph of its own: rows are repeated, not joined."""
     copies = t.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import local_name
 from ..operators import diff as D
 from ..operators import graph as G
+from ..operators import tasks as K
 from ..sources import mapping as M
 from ..sources.tables import table
 from .catalogue import query
@@ -66,9 +67,14 @@ def d5(spark, d):
 
 @query("d6_inject_missing", "SELECT DISTINCT graph, s, 'cim:SvSwitch.phase' AS p, 'ABC' AS o FROM triples t WHERE p = 'rdf:type' AND o = 'cim:SvSwitch' AND NOT EXISTS (SELECT 1 FROM triples x WHERE x.graph = t.graph AND x.s = t.s AND x.p = 'cim:SvSwitch.phase')")
 def d6(spark, d):
-    t = T(spark, d)
-    lacking = G.match(t, p="rdf:type", o="cim:SvSwitch").select("graph", "s").distinct().join(G.match(t, p="cim:SvSwitch.phase").select("graph", "s").distinct(), ["graph", "s"], "left_anti")
-    return lacking.select("graph", "s", F.lit("cim:SvSwitch.phase").alias("p"), F.lit("ABC").alias("o"))
+    return K.inject(T(spark, d), spark.createDataFrame([("cim:SvSwitch", "cim:SvSwitch.phase", "ABC")], "cls string, p string, o string"))
+
+
+@query("j23_populate", """WITH v(cls, p, o) AS (VALUES ('cim:SvSwitch', 'cim:SvSwitch.phase', 'ABC'), ('cim:SvSwitch', 'cim:SvSwitch.open', 'false'), ('cim:Terminal', 'cim:Terminal.phases', 'ABC'), ('cim:Terminal', 'cim:ACDCTerminal.connected', 'true'), ('cim:ACDCConverterDCTerminal', 'cim:ACDCTerminal.connected', 'false'))
+SELECT t.graph, t.s, v.p, min(v.o) AS o FROM triples t JOIN v ON t.p = 'rdf:type' AND t.o = v.cls WHERE NOT EXISTS (SELECT 1 FROM triples x WHERE x.graph = t.graph AND x.s = t.s AND x.p = v.p) AND t.s IS NOT NULL GROUP BY 1, 2, 3""")
+def j23(spark, d):
+    v = [("cim:SvSwitch", "cim:SvSwitch.phase", "ABC"), ("cim:SvSwitch", "cim:SvSwitch.open", "false"), ("cim:Terminal", "cim:Terminal.phases", "ABC"), ("cim:Terminal", "cim:ACDCTerminal.connected", "true"), ("cim:ACDCConverterDCTerminal", "cim:ACDCTerminal.connected", "false")]
+    return K.inject(T(spark, d).where("s is not null"), spark.createDataFrame(v, "cls string, p string, o string"))
 
 
 @query("d7_missing_records", "SELECT p_partkey AS part FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_linestatus = 'F')")

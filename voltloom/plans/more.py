@@ -10,6 +10,7 @@ from ..operators import rdfs as R
 from ..operators import tasks as K
 from ..operators.graph import closure
 from ..sources import mapping as M
+from ..sources.discovery import discover, near_field
 from ..sources.tables import table
 from .catalogue import query
 from .graphs import T
@@ -26,7 +27,21 @@ def a9(spark, d):
 
 @query("a17_glob", "SELECT DISTINCT path FROM file_metadata WHERE regexp_matches(path, '^.*/[^/]*_SV_[^/]*\\.xml$')")
 def a17(spark, d):
-    return table(spark, d, "file_metadata").select("path").distinct().where(F.col("path").rlike(r"^.*/[^/]*_SV_[^/]*\.xml\z"))
+    return discover(table(spark, d, "file_metadata"), glob="**/*_SV_*.xml")
+
+
+@query("a16_discover", "SELECT DISTINCT path FROM file_metadata WHERE ends_with(lower(path), '.xml') AND NOT contains('/' || path, '/archive/') AND NOT contains('/' || path, '/rescan/')")
+def a16(spark, d):
+    return discover(table(spark, d, "file_metadata"), ignored=("archive", "rescan"))
+
+
+@query("m11_near_field", r"""WITH x AS (SELECT DISTINCT file_name, header_ts, CASE length(file_name) % 3 WHEN 0 THEN '<md:Model.scenarioTime>' || header_ts || '</md:Model.scenarioTime>' WHEN 1 THEN '<x md:Model.scenarioTime="' || header_ts || '"/>' ELSE 'scenarioTime of the model is ' || filename_ts || ' or so' END AS text, length(file_name) % 3 AS k, filename_ts FROM file_metadata)
+SELECT file_name, CASE WHEN k < 2 THEN try_strptime(header_ts, '%Y-%m-%dT%H:%M:%SZ') ELSE try_strptime(filename_ts, '%Y%m%dT%H%MZ') END AS time FROM x""")
+def m11(spark, d):
+    k = F.length("file_name") % 3
+    text = F.when(k == 0, F.concat(F.lit("<md:Model.scenarioTime>"), "header_ts", F.lit("</md:Model.scenarioTime>"))).when(k == 1, F.concat(F.lit('<x md:Model.scenarioTime="'), "header_ts", F.lit('"/>')))
+    m = table(spark, d, "file_metadata").select("file_name", text.otherwise(F.concat(F.lit("scenarioTime of the model is "), "filename_ts", F.lit(" or so"))).alias("text"), "header_ts", "filename_ts").distinct()
+    return m.select("file_name", near_field(F.col("text"), "scenarioTime").cast("timestamp").cast("timestamp_ntz").alias("time"))
 
 
 @query("b9_csv_rows", """SELECT s, '"' || s || '","' || replace(coalesce(o, ''), '"', '""') || '"' AS line FROM (SELECT DISTINCT s, o FROM triples WHERE p = 'rdfs:label')""")
