@@ -186,3 +186,19 @@ def test_inject(spark):
     t = rows(spark, ("a", "rdf:type", "C"), ("a", "p", "1"), ("b", "rdf:type", "C"), ("b", "rdf:type", "D"), ("c", "q", "1"))
     v = spark.createDataFrame([("C", "p", "9"), ("C", "p", "8"), ("D", "q", "7")], "cls string, p string, o string")
     assert {tuple(r) for r in K.inject(t, v).collect()} == {("g", "b", "p", "8"), ("g", "b", "q", "7")}
+
+
+def test_sparql_prefixes_and_separator(spark):
+    t = rows(spark, ("a", "rdf:type", "cim:Terminal"), ("a", "http://x/y#p", "1"), ("a", "http://x/y#p", "2"))
+    head = "# one\nPREFIX m: <http://iec.ch/TC57/CIM100#> prefix : <http://x/y#>\n"
+    got = P.select(t, head + "SELECT ?s (GROUP_CONCAT(?o; SEPARATOR = '|') AS ?all) WHERE { ?s a m:Terminal ; :p ?o } GROUP BY ?s").collect()
+    assert [tuple(r) for r in got] == [("a", "1|2")]
+    with pytest.raises(P.Unsupported):
+        P.select(t, head + "SELECT ?s WHERE { ?s q:p ?o }")
+
+
+def test_closure_of_a_long_chain_with_a_cycle(spark):
+    e = [(f"n{i}", f"n{i + 1}") for i in range(40)] + [("c1", "c2"), ("c2", "c1"), ("n40", "c1"), ("n3", None), ("n1", "n2")]
+    got = {tuple(r) for r in G.closure(spark.createDataFrame(e, "s string, o string")).collect()}
+    chain = {(f"n{i}", f"n{j}") for i in range(41) for j in range(i + 1, 41)}
+    assert got == chain | {(f"n{i}", c) for i in range(41) for c in ("c1", "c2")} | {(a, b) for a in ("c1", "c2") for b in ("c1", "c2")}

@@ -222,19 +222,18 @@ def wide_star(t: DataFrame, predicates: Mapping[str, str], separator: str = "; "
 
 
 def closure(edges: DataFrame, child: str = "s", parent: str = "o", most: int = 64) -> DataFrame:
-    """(child, ancestor): all pairs of the transitive closure, cycles or not. Each round joins the
-    paths found so far with themselves, so their length doubles: log2(depth) rounds; a round that
-    finds nothing new ends it."""
+    """(child, ancestor): all pairs of the transitive closure, cycles or not. Each round joins the pairs that
+    the round before found with all that are known, so their length doubles: log2(depth) rounds; a round
+    that finds nothing new ends it."""
     e = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct()
-    known = cut(e)
-    n = known.count()
+    known = new = cut(e)
     for _ in range(most):
-        step = known.select(F.col("child").alias("a"), F.col("ancestor").alias("b")).join(known.select(F.col("child").alias("c"), F.col("ancestor").alias("d")), F.col("b") == F.col("c"))
-        known = cut(known.unionByName(step.select(F.col("a").alias("child"), F.col("d").alias("ancestor"))).distinct())
-        more = known.count()
-        if more == n:
+        up = known.select(F.col("child").alias("c"), F.col("ancestor").alias("d"))
+        step = new.join(up, F.col("ancestor") == F.col("c")).select("child", F.col("d").alias("ancestor")).distinct()
+        new = cut(step.join(known, ["child", "ancestor"], "left_anti"))
+        if new.isEmpty():
             break
-        n = more
+        known = known.unionByName(new)
     return known
 
 

@@ -2,8 +2,9 @@
 
 Basic graph patterns, ``a``, property paths (``/ | ^ + * ?``), OPTIONAL, MINUS, UNION, FILTER with
 EXISTS and NOT EXISTS, BIND, VALUES, GROUP BY with aggregates, HAVING, DISTINCT, ORDER BY, LIMIT and
-OFFSET. Terms are short names as the rows have them, full IRIs in <>, and literals. Other query forms
-are refused. A graph is a set: repeated rows count once; rows without an object match nothing."""
+OFFSET. Terms are short names as the rows have them, full IRIs in <>, and literals. A query that declares
+prefixes may use no others than these and the rows' own; a declared one stands for the rows' short name of
+its namespace, where they have one, else for the full IRI. Other query forms are refused. A graph is a set: repeated rows count once; rows without an object match nothing."""
 
 from __future__ import annotations
 
@@ -14,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.rdf import CIM, NAMESPACES
 from .graph import closure
 
 _TOKEN = re.compile(
@@ -21,10 +23,28 @@ _TOKEN = re.compile(
 )
 
 
+_PREFIX = re.compile(r"\s+|#[^\n]*\n|(?i:PREFIX)\s+([A-Za-z][\w.-]*)?:\s*<([^<>\s]*)>")
+
+
 class Unsupported(ValueError):
     """The text is no query that this subset has."""
 
 
+def short_of(namespace: str) -> str:
+    """What the rows' names of a namespace begin with: its short name and a colon, else the namespace."""
+    known = NAMESPACES.get(namespace) or ("cim" if CIM.match(namespace) else None)
+    return f"{known}:" if known else namespace
+
+
+def _named(name: str, declared: dict[str, str]) -> str:
+    prefix, local = name.split(":", 1)
+    if prefix in declared:
+        return declared[prefix] + local
+    if prefix in {"cim", *NAMESPACES.values()}:
+        return name
+    raise Unsupported(f"the prefix of {name} isn't declared")
+
+
 @dataclass
 class Query:
     variables: list[str] = field(default_factory=list)
@@ -42,13 +62,19 @@ class _Parser:
     def __init__(self, text: str) -> None:
         if not text or not text.strip():
             raise Unsupported("a blank query")
-        self.tokens, at = [], 0
+        self.tokens, at, declared = [], 0, {}
+        while m := _PREFIX.match(text, at):
+            if m[2] is not None:
+                declared[m[1] or ""] = short_of(m[2])
+            at = m.end()
         while at < len(text):
             m = _TOKEN.match(text, at)
             if not m:
                 raise Unsupported(f"no SPARQL at {text[at : at + 30]!r}")
             at = m.end()
-            if m.lastgroup:
+            if m.lastgroup == "name" and declared:
+                self.tokens.append(("name", _named(m["name"], declared)))
+            elif m.lastgroup:
                 self.tokens.append((m.lastgroup, m[m.lastgroup]))
         self.tokens.append(("end", ""))
         self.i = 0
@@ -69,8 +95,6 @@ class _Parser:
         return False
 
     def query(self) -> Query:
-        while self.maybe("PREFIX"):
-            self.i += 2
         if self.peek() != "SELECT":
             raise Unsupported("only SELECT queries")
         self.take()
@@ -243,14 +267,14 @@ class _Parser:
                 return ("exists", self.group())
             if name in ("COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"):
                 self.take("(")
-                distinct = self.maybe("DISTINCT")
+                distinct, between = self.maybe("DISTINCT"), " "
                 inner = None if self.maybe("*") else self.expression()
                 if self.maybe(";"):
                     self.take("SEPARATOR")
                     self.take("=")
-                    self.term()
+                    between = self.term()[1]
                 self.take(")")
-                return ("agg", name, distinct, inner)
+                return ("agg", name, distinct, inner, between)
             return ("call", name, self.arguments())
         return self.term()
 
@@ -380,7 +404,7 @@ def _evaluate(t: DataFrame, group: list) -> DataFrame:
 
 
 def _aggregate(e, has: set[str]) -> Column:
-    _, name, distinct, inner = e
+    _, name, distinct, inner, between = e
     v = F.lit(1) if inner is None else _value(inner, has)
     if name == "COUNT":
         return F.countDistinct(v) if distinct else F.count(v)
@@ -388,7 +412,7 @@ def _aggregate(e, has: set[str]) -> Column:
         n = _number(v)
         return (F.sum_distinct(n) if distinct else F.sum(n)) if name == "SUM" else F.avg(n)
     if name == "GROUP_CONCAT":
-        return F.array_join(F.array_sort(F.collect_set(v) if distinct else F.collect_list(v)), " ")
+        return F.array_join(F.array_sort(F.collect_set(v) if distinct else F.collect_list(v)), between)
     return {"MIN": F.min, "MAX": F.max, "SAMPLE": F.min}[name](v)
 
 

@@ -27,6 +27,8 @@ NAMESPACES = {
     "http://purl.org/dc/terms/": "dcterms", "http://www.w3.org/2004/02/skos/core#": "skos", "http://iec.ch/TC57/61970-552/ModelDescription/1#": "md", "http://iec.ch/TC57/61970-552/DifferenceModel/1#": "dm",
     "http://iec.ch/TC57/1999/rdf-schema-extensions-19990926#": "cims",
 }
+#: Namespaces of all versions of the model.
+CIM = re.compile("^http://iec.ch/TC57/(20[0-9]{2}/CIM-schema-cim1[0-9]|CIM100|CIM100-.*)#$")
 #: Archives within archives are opened down to this depth.
 MOST_NESTED = 5
 Row = tuple
@@ -360,7 +362,7 @@ def short_names(t: DataFrame, more: dict[str, str] | None = None) -> DataFrame:
 
     def short(c: str) -> Column:
         ns = F.regexp_extract(c, r"^(.*[#/])", 1)
-        name = F.coalesce(F.element_at(prefix, ns), F.when(ns.rlike("^http://iec.ch/TC57/(20[0-9]{2}/CIM-schema-cim1[0-9]|CIM100|CIM100-.*)#$"), "cim"))
+        name = F.coalesce(F.element_at(prefix, ns), F.when(ns.rlike(CIM.pattern), "cim"))
         return F.coalesce(F.concat(name, F.lit(":"), F.expr(f"substring({c}, length(regexp_extract({c}, '^(.*[#/])', 1)) + 1)")), F.col(c))
 
     return t.withColumns({"p": short("p"), "o": F.when(F.col("p") == RDF + "type", short("o")).otherwise(F.col("o")), "o_dt": short("o_dt")})
