@@ -1,6 +1,7 @@
 import json
 from datetime import datetime
 
+from voltloom.operators import drift
 from voltloom.operators.drift import canonical_names, changes, consistent, promote
 
 SCHEMA = "series string, file_name string, exported_at timestamp_ntz, line_no int, record string, FIELD string"
@@ -69,3 +70,22 @@ def test_records_without_item_and_repeated_keys(spark):
     assert dict(t.dtypes)["come"] == "double" and len(got) == 12
     assert {r.come for r in got} == {None, 1.0, 2.5} and {r.twice for r in got} == {None, 7} and {r.gone for r in got} == {None, True}
     assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def test_no_values_go_to_the_driver(spark, monkeypatch, tmp_path):
+    """Whatever Spark estimates: fields of variants look small to it, and were broadcast."""
+    plans = []
+    cut = drift.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(drift, "cut", seen)
+    double = [f'{{"item":"i{k}","old":0,"old":"n{k}"}}' for k in range(5)]
+    df = rows(spark, [("S", "a", double), ("S", "b", items(5, new=lambda k: f"n{k}")), (None, "c", items(3, x=1)), ("S", None, items(3, x=1))])
+    df.write.parquet(f"{tmp_path}/t")
+    out = changes(spark.read.parquet(f"{tmp_path}/t"))
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r)[1:] for r in out.where("file_name is not null").collect()} == {("b", "renamed", "old", "new")}
+    assert len(plans) > 1 and not [p for p in plans if "Broadcast" in p]
