@@ -46,6 +46,17 @@ def minus(t: DataFrame, gone: DataFrame, on: Iterable[str] = ("s", "p", "o")) ->
     return t.join(gone.select(*on).distinct(), on, "left_anti")
 
 
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(side, s, p, o): distinct statements that only A or only B has, nulls being equal. One shuffle by
+    subject and no join: Spark takes statements made of a table's columns for as small as that
+    table, and would send all of one side to the driver for a broadcast."""
+    side = lambda t, bit: t.select("s", "p", "o", F.lit(bit).alias("sides"))
+    # all of a subject's rows lie together and compress well; aggregated before the shuffle they would not
+    rows = side(a, 1).unionByName(side(b, 2)).repartition("s")
+    found = rows.groupBy("s", "p", "o").agg(F.bit_or("sides").alias("sides")).where("sides <> 3")
+    return found.select(F.when(F.col("sides") == 1, "A").otherwise("B").alias("side"), "s", "p", "o")
+
+
 def inheritance_only(t: DataFrame) -> DataFrame:
     return t.where(F.col("p").isin(*INHERITANCE))
 

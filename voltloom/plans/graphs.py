@@ -155,8 +155,7 @@ def h2(spark, d):
 
 @query("h3_symmetric_difference", f"WITH a AS ({M.A_SQL}), b AS ({M.B_SQL}) (SELECT 'A' AS side, s, p, o FROM (SELECT s, p, o FROM a EXCEPT SELECT s, p, o FROM b)) UNION ALL (SELECT 'B', s, p, o FROM (SELECT s, p, o FROM b EXCEPT SELECT s, p, o FROM a))")
 def h3(spark, d):
-    a, b = (m.select("s", "p", "o") for m in M.order_models(table(spark, d, "orders")))
-    return a.subtract(b).select(F.lit("A").alias("side"), "*").unionByName(b.subtract(a).select(F.lit("B").alias("side"), "*"))
+    return G.symmetric_difference(*M.order_models(table(spark, d, "orders")))
 
 
 @query("h5_list_equal", """WITH a AS (SELECT l_orderkey AS k, array_agg(l_returnflag) AS x FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey AS k, array_agg(l_returnflag) AS y FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1)
