@@ -48,6 +48,51 @@ def test_heap_is_the_fold():
             assert bpe.heap_encode(w.encode(), b.byte_ids, b.pairs) == sizes.encoding(PATH)._core_bpe.encode_single_piece(w.encode())
 
 
+def test_fold_of_many_words_is_the_heap():
+    b = bpe.tables(PATH)
+    rng = random.Random(1)
+    words = [bytes(rng.choice(s) for _ in range(rng.randrange(1, n))) for n in (2, 9, 257) for s in (b"a", b"ab =", b"0123456789abcdef", range(256)) for _ in range(60)]
+    for some in (words, words[:1], words[-7:], []):
+        ids, counts = b.merges.fold(some)
+        one = [bpe.heap_encode(w, b.byte_ids, b.pairs) for w in some]
+        assert counts.tolist() == list(map(len, one)) and ids.tolist() == sum(one, [])
+    assert b.merges.pairs() == b.pairs
+
+
+@pytest.mark.parametrize("at_once, remember", [(3, 5), (3, 0), (16_384, 4), (1, 50_000)])
+def test_words_are_remembered_over_batches(spark, monkeypatch, at_once, remember):
+    monkeypatch.setattr(bpe, "FLAT_WORDS", at_once)
+    monkeypatch.setattr(bpe, "CACHE_WORDS", remember)
+    rng = random.Random(2)
+    texts = [" ".join(f"zq{rng.randrange(30)}xv{'k' * rng.choice([1, 300])}" for _ in range(rng.randrange(6))) for _ in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), PATH).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id: list(r.ids) for r in got} == {i: expected(t) for i, t in enumerate(texts)}
+
+
+def test_unknown_words_cost_little(spark):
+    """CPU seconds of the ids of texts of words that are no tokens, against those of their words alone."""
+    import psutil
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("bcdfghjkqvwxz", k=14)) for _ in range(800)) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4).localCheckpoint()
+
+    def cost(x):
+        used = lambda: sum(sum(p.cpu_times()[:2]) for p in psutil.Process().children(recursive=True))
+        began = used()
+        x.write.format("noop").mode("overwrite").save()
+        return used() - began
+
+    split, encoded = df.select(bpe._words(df.text)), bpe.encode(df, PATH)
+    cost(split), cost(encoded)
+    alone, all_of_it = max(cost(split) for _ in range(2)), min(cost(encoded) for _ in range(2))
+    assert all_of_it < 12 * alone, (all_of_it, alone)
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert bpe.encode(none, PATH).count() == 0

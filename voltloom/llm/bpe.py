@@ -1,15 +1,15 @@
-"""Byte-level BPE encoding and decoding as Spark expressions.
+"""Byte-level BPE encoding in Arrow batches, and decoding as a Spark expression.
 
-A text is split into words by the pattern that belongs to the rank file. A word that is a token
-of its own is looked up directly, and so are common words of several tokens, from a bounded
-cache. The other distinct words of a text are encoded by a
-fold over their byte ids: each step finds the pair of neighbours of lowest rank in a literal rank
-table and joins it, until no pair is left. Nothing is shuffled.
+A text is split into words by the pattern that belongs to the rank file, as a Spark expression.
+Each distinct word of a batch is encoded once: a word that is a token of its own is looked up, the
+others are encoded by a fold over their byte ids, many words at a time: each step finds in every
+word the pair of neighbours of lowest rank in a rank table and joins it, until no word has a pair
+left. Nothing is shuffled.
 
-The tables are literals of the plan: their size is that of the vocabulary, never of the data.
+The tables' size is that of the vocabulary, never of the data.
 
-Words of more than ``FOLD_BYTES`` bytes take the same merges with a heap in an Arrow UDF, for the
-fold's time grows with the square of a word's length.
+Words of more than ``FOLD_BYTES`` bytes take the same merges with a heap, for the fold's time grows
+with the square of a word's length.
 """
 
 from __future__ import annotations
@@ -19,17 +19,16 @@ import heapq
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Texts of more words than this take the same merges with a heap in an Arrow UDF, word by word: an
-#: unknown word is looked up among the text's unknown ones by going through them.
+#: The fold takes so many words at a time at most: its arrays then stay small, however many words there are.
 FLAT_WORDS = 16_384
-#: A cache of common words is made of so many texts, and holds so many words at most. It changes
-#: no result: a word that it lacks is encoded where it occurs.
-CACHE_TEXTS, CACHE_WORDS = 5_000, 50_000
+#: A task remembers the ids of so many words of earlier batches at most. It changes no result: a
+#: word that isn't remembered is encoded again.
+CACHE_WORDS = 50_000
 #: Longest word, in bytes, that is encoded by the fold.
 FOLD_BYTES = 256
 
@@ -97,42 +96,7 @@ def heap_encode(word: bytes, byte_ids: list[int], pairs: dict[tuple[int, int], i
     return [x for x, out in zip(ids, gone) if not out]
 
 
-def _murmur3(data: bytes, seed: int = 42) -> int:
-    """Spark's hash() of a string: 32-bit Murmur 3 whose last bytes are mixed one by one."""
-    m = 0xFFFFFFFF
-    rot = lambda x, r: ((x << r) | (x >> (32 - r))) & m
-    whole = len(data) // 4 * 4
-    words = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)]
-    words += [b if b < 128 else b - 256 + (1 << 32) for b in data[whole:]]
-    h = seed
-    for k in words:
-        h = (rot(h ^ (rot(k * 0xCC9E2D51 & m, 15) * 0x1B873593 & m), 13) * 5 + 0xE6546B64) & m
-    h ^= len(data)
-    h = (h ^ (h >> 16)) * 0x85EBCA6B & m
-    h = (h ^ (h >> 13)) * 0xC2B2AE35 & m
-    h ^= h >> 16
-    return h - (1 << 32) if h >> 31 else h
-
-
-def _displace(groups: list[int], bases: list[int], n_groups: int, size: int) -> tuple[list[int], list[int]]:
-    """A shift for each group so that no two keys share a slot below size; the slot of each key."""
-    members: list[list[int]] = [[] for _ in range(n_groups)]
-    for i, g in enumerate(groups):
-        members[g].append(i)
-    taken, shifts, slots = bytearray(size), [0] * n_groups, [0] * len(groups)
-    for g in sorted(range(n_groups), key=lambda g: -len(members[g])):
-        own = members[g]
-        shift = 0
-        while any(taken[bases[i] + shift] for i in own):
-            shift += 1
-        for i in own:
-            slots[i] = bases[i] + shift
-            taken[slots[i]] = 1
-        shifts[g] = shift
-    return shifts, slots
-
-
-def _overlay(rows: dict[int, list[int]], width: int) -> tuple[dict[int, int], np.ndarray]:
+def _overlay(rows: dict[int, list[int]], width: int) -> dict[int, int]:
     """Lays sparse rows over each other: a start for each row so that no two entries meet."""
     taken = np.zeros(width * 16, bool)
     starts: dict[int, int] = {}
@@ -151,90 +115,122 @@ def _overlay(rows: dict[int, list[int]], width: int) -> tuple[dict[int, int], np
             k += 1
         starts[a], taken[free[k]] = free[k] - b, True
         k += 1
-    return starts, taken
+    return starts
 
 
-def _array(values) -> Column:
-    """A literal array<int>: one string that the optimizer splits and casts once."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+class Merges:
+    """The merges of a rank file as arrays: a sparse matrix, left id x right id -> joined id, its rows
+    laid over each other."""
 
-
-class WordTable:
-    """Words with a code each, as literal arrays with a collision-free hash."""
-
-    GROUPS, BASES = 1 << 14, 1 << 17
-
-    def __init__(self, words: list[tuple[str, int]]) -> None:
-        # U+0000 parts the words below; of two words that the hash can't part one is left out:
-        # a word that isn't found goes to the fold, which gives the same ids
-        parted = {}
-        for w, code in words:
-            if "\0" not in w and w:
-                h = _murmur3(w.encode())
-                parted[h & (self.GROUPS - 1), (h >> 14) & (self.BASES - 1)] = (w, code)
-        self.shifts, at = _displace([g for g, _ in parted], [x for _, x in parted], self.GROUPS, 4 * self.BASES)
-        table, self.codes = [""] * (max(at, default=0) + 1), [-1] * (max(at, default=0) + 1)
-        for (w, code), i in zip(parted.values(), at):
-            table[i], self.codes[i] = w, code
-        self.words = "\0".join(table)
-
-    def code(self, word: Column) -> Column:
-        """The word's code, else -1."""
-        h = F.hash(word)
-        at = F.shiftright(h, 14).bitwiseAND(F.lit(self.BASES - 1)) + F.get(_array(self.shifts), h.bitwiseAND(F.lit(self.GROUPS - 1)))
-        return F.when(F.get(F.split(F.lit(self.words), "\0"), at) == word, F.get(_array(self.codes), at)).otherwise(F.lit(-1))
+    def __init__(self, pairs: dict[tuple[int, int], int], byte_ids: list[int], size: int) -> None:
+        rows: dict[int, list[int]] = {}
+        for a, b in pairs:
+            rows.setdefault(a, []).append(b)
+        starts = _overlay(rows, size)
+        self.byte_ids, self.starts = np.array(byte_ids, np.int32), np.zeros(size, np.int32)
+        self.starts[list(starts)] = list(starts.values())
+        self.owner = np.full(int(self.starts.max()) + size, -1, np.int32)
+        self.joined = np.zeros(len(self.owner), np.int32)
+        for (a, b), r in pairs.items():
+            self.owner[starts[a] + b], self.joined[starts[a] + b] = a, r
+
+    def pairs(self) -> dict[tuple[int, int], int]:
+        at = np.flatnonzero(self.owner >= 0)
+        left = self.owner[at]
+        return dict(zip(zip(left.tolist(), (at - self.starts[left]).tolist()), self.joined[at].tolist()))
+
+    def fold(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, none of them empty, one after the other, and the number of ids of each."""
+        ids = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        counts, own = np.fromiter(map(len, words), np.int64, len(words)), np.arange(len(words))
+        none, place = np.int64(1) << 62, (np.int64(1) << 32) - 1
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(own):
+            ends = np.cumsum(counts)
+            firsts = ends - counts
+            # the lowest rank of a word's pairs, and of equal ones the leftmost
+            at = self.starts[ids[:-1]] + ids[1:]
+            keys = np.full(len(ids), none)
+            np.copyto(keys[:-1], (self.joined[at].astype(np.int64) << 32) + np.arange(len(at)), where=self.owner[at] == ids[:-1])
+            keys[ends - 1] = none
+            low = np.minimum.reduceat(keys, firsts)
+            ended = low == none
+            stay = np.ones(len(ids), bool)
+            i = low[~ended] & place
+            ids[i] = low[~ended] >> 32
+            stay[i + 1] = False
+            if ended.any():
+                rest = np.repeat(ended, counts)
+                done.append((own[ended], counts[ended], ids[rest]))
+                stay &= ~rest
+            ids, own, counts = ids[stay], own[~ended], counts[~ended] - 1
+        size = np.zeros(len(words), np.int64)
+        for own, n, _ in done:
+            size[own] = n
+        out, firsts = np.empty(int(size.sum()), np.int32), np.cumsum(size) - size
+        for own, n, ids in done:
+            out[_ranges(firsts[own], n)] = ids
+        return out, size
+
+
+def _ranges(firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(firsts - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Bpe:
-    """The tables of one rank file, as Python dictionaries and as literal Spark arrays.
-
-    The pairs are a sparse matrix, left id x right id -> joined id, its rows laid over each other."""
+    """The tables of one rank file."""
 
     def __init__(self, path: str) -> None:
         self.path = path
         self.ranks = read_ranks(path)
-        if max(self.ranks.values()) >= 1 << 23:
-            raise ValueError("an id and a place in a word must fit 31 bits")
+        if max(self.ranks.values()) >= 1 << 30:
+            raise ValueError("an id and a place in a batch must fit 62 bits")
         self.pairs = merge_pairs(self.ranks)
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
-        rows: dict[int, list[int]] = {}
-        for a, b in self.pairs:
-            rows.setdefault(a, []).append(b)
         self.size = max(self.ranks.values()) + 1
-        starts, taken = _overlay(rows, self.size)
-        self.starts = [starts.get(a, 0) for a in range(self.size)]
-        length = int(np.flatnonzero(taken)[-1]) + 1
-        self.owner, self.joined = [-1] * length, [0] * length
-        for (a, b), r in self.pairs.items():
-            self.owner[starts[a] + b], self.joined[starts[a] + b] = a, r * FOLD_BYTES
-        tokens = []
-        for token, rank in self.ranks.items():
-            try:
-                tokens.append((token.decode("utf-8"), rank))
-            except UnicodeDecodeError:
-                continue
-        self.token_words = tokens
-        self.tokens = WordTable(tokens)
-
-    def fold(self, word: Column) -> Column:
-        """Ids of a word of at most FOLD_BYTES bytes, as array<int>."""
-        latin = F.split(F.decode(word.cast("binary"), "ISO-8859-1"), "")
-        first = F.transform(latin, lambda c: F.get(_array(self.byte_ids), F.ascii(c)))
-
-        def step(ids: Column, _: Column) -> Column:
-            def pair(a: Column, i: Column) -> Column:
-                at = F.get(_array(self.starts), a) + F.get(ids, i + F.lit(1))
-                return F.when(F.get(_array(self.owner), at) == a, F.get(_array(self.joined), at) + i)
-
-            def join(m: Column) -> Column:
-                at = m.bitwiseAND(F.lit(FOLD_BYTES - 1))
-                more = F.concat(F.slice(ids, F.lit(1), at), F.array(F.shiftright(m, 8)), F.slice(ids, at + F.lit(3), F.lit(FOLD_BYTES)))
-                return F.when(m.isNull(), ids).otherwise(more)
-
-            return F.get(F.transform(F.array(F.array_min(F.transform(ids, pair))), join), F.lit(0))
-
-        steps = F.when(F.octet_length(word) > 1, F.sequence(F.lit(2), F.octet_length(word))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, first, step)
+        self.merges = Merges(self.pairs, self.byte_ids, self.size)
+
+
+class Words:
+    """The ids of distinct words in one array; remembers words from batch to batch."""
+
+    def __init__(self, path: str, merges: Merges, at_once: int, remember: int) -> None:
+        self.ranks, self.merges, self.at_once, self.remember = _ranks(path), merges, at_once, remember
+        # a token's id is its place
+        self.ids, self.known = np.arange(len(merges.starts), dtype=np.int32), {}
+        self.pairs: dict[tuple[int, int], int] | None = None
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and the place of each word's first one and their number."""
+        firsts, counts = np.zeros(len(words), np.int32), np.ones(len(words), np.int32)
+        short, long = [], []
+        for k, w in enumerate(words):
+            if (r := self.ranks.get(w)) is not None:
+                firsts[k] = r
+            elif (own := self.known.get(w)) is not None:
+                firsts[k], counts[k] = own
+            else:
+                (short if len(w) <= FOLD_BYTES else long).append(k)
+        pool, size = [self.ids], len(self.ids)
+        for j in range(0, len(short), self.at_once):
+            some = short[j : j + self.at_once]
+            ids, n = self.merges.fold([words[k] for k in some])
+            firsts[some], counts[some] = size + np.cumsum(n) - n, n
+            pool.append(ids)
+            size += len(ids)
+            # words are remembered from the first ones on, so that their ids lie together
+            if self.remember and len(self.known) < self.remember:
+                self.known.update((words[k], (int(firsts[k]), int(counts[k]))) for k in some[: self.remember - len(self.known)])
+                self.ids = np.concatenate([self.ids, ids])
+        for k in long:
+            self.pairs = self.pairs or self.merges.pairs()
+            ids = np.array(heap_encode(words[k], self.merges.byte_ids.tolist(), self.pairs), np.int32)
+            firsts[k], counts[k] = size, len(ids)
+            pool.append(ids)
+            size += len(ids)
+        return np.concatenate(pool), firsts, counts
 
 
 @lru_cache(maxsize=4)
@@ -243,57 +239,14 @@ def tables(path: str) -> Bpe:
 
 
 @lru_cache(maxsize=4)
-def _heap(path: str) -> tuple[list[int], dict[tuple[int, int], int]]:
-    ranks = read_ranks(path)
-    return [ranks[bytes([b])] for b in range(256)], merge_pairs(ranks)
-
-
-def _by_heap(path: str):
-    """Two Arrow UDFs: ids of each long word of a list; ids of a whole text of very many words."""
-
-    # the annotations are set as types: as strings Spark can't read them
-    def words(lists):
-        return lists.map(lambda ws: [heap_encode(w.encode(), *_heap(path)) for w in ws])
-
-    def texts(some):
-        def ids(text: str | None) -> list[int] | None:
-            if text is None:
-                return None
-            known: dict[str, list[int]] = {}
-            out: list[int] = []
-            for w in _pattern().findall(text):
-                if w not in known:
-                    known[w] = heap_encode(w.encode(), *_heap(path))
-                out += known[w]
-            return out
-
-        return some.map(ids)
-
-    words.__annotations__ = {"lists": pd.Series, "return": pd.Series}
-    texts.__annotations__ = {"some": pd.Series, "return": pd.Series}
-    return F.pandas_udf(words, "array<array<int>>"), F.pandas_udf(texts, "array<int>")
-
-
-@lru_cache(maxsize=1)
-def _pattern():
-    import public_tokenizers
-    import regex
-
-    return regex.compile(public_tokenizers.PATTERN)
+def _ranks(path: str) -> dict[bytes, int]:
+    return read_ranks(path)
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORDS), F.lit(0))
 
 
-def _common(texts: DataFrame, bpe: Bpe) -> list[tuple[str, list[int]]]:
-    """Words of several tokens that are common in the first CACHE_TEXTS texts, with their ids."""
-    words = texts.limit(CACHE_TEXTS).select(F.explode(F.array_distinct(_words(F.col("text")))).alias("w"))
-    rest = words.where((bpe.tokens.code(F.col("w")) < 0) & (F.octet_length("w") <= 64)).groupBy("w").count().where("count > 1")
-    top = rest.orderBy(F.desc("count"), "w").limit(CACHE_WORDS)
-    return [(r.w, r.ids) for r in top.select("w", bpe.fold(F.col("w")).alias("ids")).collect()]
-
-
 def texts_of(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text) by exact column names, whatever other columns there are. Work on texts takes far more
     time than moving them: where the input has fewer partitions than the cluster has cores (one
@@ -310,32 +263,23 @@ def encode(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     Null and empty texts give an empty list. The strings of special tokens are ordinary text. Only
     the two named columns are read, whatever others there are. Texts may be of any length."""
     texts = texts_of(documents, id_col, text_col)
-    bpe = tables(path)
-    common = _common(texts, bpe) if cache else []
-    known = WordTable([*((w, bpe.size + i) for i, (w, _) in enumerate(common)), *bpe.token_words]) if common else bpe.tokens
-    pieces = F.from_json(F.lit(str([ids for _, ids in common])), "array<array<int>>")
-    long_words, long_texts = _by_heap(path)
-    split = texts.select("id", "text", _words(F.col("text")).alias("all"))
-    many = F.size("all") > FLAT_WORDS
-    split = split.select("id", F.when(many, F.col("text")).alias("many"), F.when(many, F.array().cast("array<string>")).otherwise(F.col("all")).alias("w"))
-    split = split.withColumn("long", F.array_distinct(F.filter("w", lambda w: F.octet_length(w) > FOLD_BYTES)))
-    split = split.select("id", "w", "long", long_words(F.col("long")).alias("long_ids"), long_texts(F.col("many")).alias("many_ids"))
-
-    def ids_of(w: Column) -> Column:
-        return F.when(F.octet_length(w) <= FOLD_BYTES, bpe.fold(w)).otherwise(F.get("long_ids", (F.array_position("long", w) - 1).cast("int")))
-
-    def one(w: Column, c: Column) -> Column:
-        found = F.when(c < F.lit(0), F.get("i", (F.array_position("r", w) - 1).cast("int")))
-        if common:
-            found = found.when(c >= F.lit(bpe.size), F.get(pieces, c - F.lit(bpe.size)))
-        return found.otherwise(F.array(c))
-
-    coded = split.withColumn("c", F.transform("w", known.code))
-    rest = coded.withColumn("r", F.array_compact(F.array_distinct(F.zip_with("w", "c", lambda w, c: F.when(c < F.lit(0), w)))))
-    folded = rest.withColumn("i", F.transform("r", ids_of))
-    # i is named twice, for else the optimizer would move its making into the lambda, once a word
-    ids = F.when(F.size("i") >= 0, F.flatten(F.zip_with("w", "c", one)))
-    return folded.select(F.col("id").alias(id_col), F.coalesce("many_ids", ids).alias("ids"))
+    merges, at_once, remember = tables(path).merges, FLAT_WORDS, CACHE_WORDS if cache else 0
+
+    def ids(batches):
+        words = Words(path, merges, at_once, remember)
+        for b in batches:
+            lists = b.column(1)
+            distinct = lists.flatten().dictionary_encode()
+            own = distinct.indices.to_numpy()
+            all_ids, firsts, counts = words.encode(distinct.dictionary.cast(pa.binary()).to_pylist())
+            n = counts[own]
+            ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            offsets = lists.offsets.to_numpy()
+            flat = pa.array(all_ids[_ranges(firsts[own], n)], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]]), flat)], names=[id_col, "ids"])
+
+    schema = T.StructType([T.StructField(id_col, texts.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return texts.select("id", _words(F.col("text")).alias("words")).mapInArrow(ids, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", to: str = "text") -> DataFrame:
